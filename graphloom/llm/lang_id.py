@@ -152,19 +152,18 @@ def train(docs: DataFrame, may_learn: Column, lang_col: str = "lang", id_col: st
     return langs, counts, order
 
 
-def identify(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, lang_pred, score) of every whole text, and the columns in keep. A narrow map."""
+def identify(docs: DataFrame, model: tuple, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """The columns in keep, and lang_pred and score of every whole text, which replace columns of these names. A narrow map."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     mark = common.mark()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = common.worker_cache(_kept, mark, lambda: ContextTrees(*sent.value) if sent.value[0] else None)
         for batch in common.pieces(batches):
-            texts = batch.column(0).to_pylist()
-            found = [trees.predict(t) if trees else (UNDETERMINED, 0.0) for t in texts]
+            found = [trees.predict(t) if trees else (UNDETERMINED, 0.0) for t in batch.column(0).to_pylist()]
             made = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*batch.schema.names[1:], pred_col, score_col])
 
-    rows = docs.select(F.col(text_col).alias("__text"), F.col(id_col), *keep)
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("__text").dtypes)
-    return common.map_arrow(rows, run, f"{schema}, lang_pred string, score double")
+    rows = docs.select(F.col(text_col).alias("__text_to_score"), *[c for c in keep if c not in (pred_col, score_col)])
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[1:])
+    return common.map_arrow(rows, run, f"{schema}, `{pred_col}` string, `{score_col}` double")

@@ -25,6 +25,7 @@ from graphloom.llm import common
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Rows that a bucket of the seeded order holds, about.
 BUCKET_ROWS = 4096
+SEED = 17
 
 
 def word_count(text: Column) -> Column:
@@ -33,6 +34,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def order_key(seed: int, row_id: Column, text: Column) -> Column:
+    """A row's place in the seeded order, as a text; equal for rows equal in id and text only."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), row_id.cast("string"), F.md5(text.cast("binary"))))
+
+
 def targets(sizes: DataFrame, max_epochs: int, weights: tuple[int, ...]) -> DataFrame:
     """sizes (source, source_size) with a row per source; adds weight and target. Windows over sources, not rows."""
     by_source = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
@@ -55,13 +61,13 @@ def targets(sizes: DataFrame, max_epochs: int, weights: tuple[int, ...]) -> Data
     return filled.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 17, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) for every row of docs.
+def mix(docs: DataFrame, seed: int = SEED, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken, order) for every row of docs.
 
     Three small shuffles: sums by source, sums by (source, bucket), and the buckets' rows; texts stay where they are.
     """
     kept = common.materialize(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary")))).alias("order")),
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order_key(seed, F.col(id_col), F.col(text_col)).alias("order")),
         "sizes",
     )
     sizes = kept.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -85,4 +91,4 @@ def mix(docs: DataFrame, seed: int = 17, max_epochs: int = 3, weights: tuple[int
     taken = (F.col("whole") * F.col("size") + part).cast("long")
     copies = F.when(F.col("size") > 0, F.col("whole") + (2 * part > F.col("size")).cast("long")).otherwise(F.lit(0))
     rows = rows.withColumns({"taken": taken, "copies": copies})
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", "taken")
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", "taken", "order")

@@ -74,9 +74,10 @@ def search(queries: Block, rows: Block, k: int) -> Iterator[tuple[int, np.ndarra
     exact = queries.norm.max(initial=0) * rows.norm.max(initial=0) < EXACT
     if not exact:
         for q, vector in zip(queries.ids, queries.vectors, strict=True):
-            scores = np.array([sum(int(a) * int(b) for a, b in zip(vector, v, strict=True)) for v in rows.vectors], object)
+            # Long scores that do not fit are the nearest that do, and tie.
+            scores = [max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(vector, v, strict=True)))) for v in rows.vectors]
             order = sorted(np.flatnonzero(rows.ids != q), key=lambda i: (-scores[i], rows.ids[i]))[:k]
-            yield int(q), np.array(order, np.int64), np.array([max(-(1 << 63), min((1 << 63) - 1, int(scores[i]))) for i in order], np.int64)
+            yield int(q), np.array(order, np.int64), np.array([scores[i] for i in order], np.int64)
         return
     # Longest first: they are the likeliest to score high, and give the first thresholds.
     probes = np.argsort(-rows.norm, kind="stable")[:PROBES]

@@ -158,18 +158,19 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     return Machine(associated(rows, target)).fit(rows, target)
 
 
-def score_toxicity(docs: DataFrame, model: Machine | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, and score and predicted. A narrow map; the model's size is fixed by its buckets."""
+def score_toxicity(docs: DataFrame, model: Machine | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """The columns of docs, and score and predicted, which replace columns of these names. A narrow map; the model's size is fixed by its buckets."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(text_col).alias("__t"), *docs.columns)
+    kept = docs.drop(score_col, predicted_col)
+    rows = docs.select(F.col(text_col).alias("__text_to_score"), *kept.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = common.worker_cache(_kept, "terms", Terms)
         machine = sent.value
         for batch in common.pieces(batches):
             scores = [machine.score(terms.of(t)) if machine else 0.0 for t in common.column_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], score_col])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    scored = common.map_arrow(rows, run, f"{schema}, score double")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes)
+    scored = common.map_arrow(rows, run, f"{schema}, `{score_col}` double")
+    return scored.withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))
