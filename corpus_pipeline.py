@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import common, lang_id, mixing, near_dup, packing, toxicity
@@ -19,28 +19,36 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold stay."""
     labels = common.table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.train(docs, labels, F.col("doc_id").isNotNull())
-    return toxicity.score_toxicity(docs, model).filter("predicted = 0").select(*docs.columns)
+    scored = toxicity.score_toxicity(docs, model, score_col="__toxicity", predicted_col="__toxic")
+    return scored.filter("__toxic = 0").select(*docs.columns)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told stay; the label they came with is not changed."""
     model = lang_id.train(docs, F.lit(True))
-    found = lang_id.identify(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return found.filter((F.col("lang_pred") != lang_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    found = lang_id.identify(docs, model, keep=tuple(docs.columns), pred_col="__language", score_col="__posterior")
+    return found.filter((F.col("__language") != lang_id.UNDETERMINED) & (F.col("__posterior") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; rows without an id stay as they are."""
-    found = near_dup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    once = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]) if docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count() else docs.filter("doc_id is not null")
-    return once.join(found, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """The document with the smallest id of each group stays; of rows that share an id the one with the first text; rows without an id stay as they are."""
+    gone = near_dup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    named = docs.filter("doc_id is not null")
+    if not named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        first = Window.partitionBy("doc_id").orderBy("text", *[c for c in ("source", "lang") if c in docs.columns])
+        named = named.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    return named.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; rows of no words are in no mix."""
-    copies = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("mixed_id"), "copies")
-    met = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Each document as many times as the mix takes it; rows of no words are in no mix. Rows equal in id, source and text are taken as the first of them, as often as all together."""
+    by_key = mixing.mix(docs).groupBy("order", "source").agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows"))
+    copies = common.materialize(by_key.filter("__copies > 0").select(F.col("order").alias("__order"), F.col("source").alias("__source"), "__copies", "__rows"), "copies")
+    keyed = docs.withColumn("__key", mixing.order_key(mixing.SEED, F.col("doc_id"), F.col("text")))
+    if not copies.filter("__rows > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["__key", "source"])
+    met = keyed.join(copies, (F.col("__key") == F.col("__order")) & F.col("source").eqNullSafe(F.col("__source")))
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
