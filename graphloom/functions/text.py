@@ -62,7 +62,7 @@ def normalize_name(text: Column) -> Column:
 
 def split_csv(text: Column) -> Column:
     """Parts between commas, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def split_sentences(text: Column) -> Column:

@@ -101,7 +101,7 @@ def hybrid_search(
         seeds = seeds_of(channels, relations if options.relation_seeds else None)
         if options.expand_communities and communities is not None:
             seeds = graph.expand_communities(communities.filter(F.col("kb_id") == kb), seeds)
-        if seeds:
+        if not isinstance(seeds, list) or seeds:
             at = F.lit(options.at).cast("timestamp") if options.at else None
             valid = edges if edges is not None else graph.allowed(relations.filter(F.col("kb_id") == kb), at=at if at is not None else now)
             scored = graph.channel(valid, seeds, options.scorer, options.hops, options.edge_types, None, options.min_weight, options.compose_filters)

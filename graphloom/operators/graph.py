@@ -22,7 +22,13 @@ ALPHA, ROUNDS, EPSILON = 0.15, 20, 1e-6
 ROUNDS_AT_ONCE = 4
 
 
-def seeds_table(spark: SparkSession, seeds: Sequence[str]) -> DataFrame:
+#: Seeds of a traversal: a short list of ids, or a table with a column node.
+Seeds = Sequence[str] | DataFrame
+
+
+def seeds_table(spark: SparkSession, seeds: Seeds) -> DataFrame:
+    if isinstance(seeds, DataFrame):
+        return seeds.select("node").distinct()
     return spark.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "node string")
 
 
@@ -45,7 +51,7 @@ def both_ways(edges: DataFrame, *more: str) -> DataFrame:
     return there.unionByName(edges.select(F.col("target_id").alias("src"), F.col("source_id").alias("dst"), *more))
 
 
-def neighbours(edges: DataFrame, seeds: Sequence[str], hops: int, types: Sequence[str] = (), at: Column | None = None) -> DataFrame:
+def neighbours(edges: DataFrame, seeds: Seeds, hops: int, types: Sequence[str] = (), at: Column | None = None) -> DataFrame:
     """(node, hops): the fewest hops from any seed; seeds are at 0, in the graph or not."""
     spark = edges.sparkSession
     links = cut(both_ways(allowed(edges, types, at).select("source_id", "target_id")).distinct(), "links")
@@ -60,7 +66,7 @@ def neighbours(edges: DataFrame, seeds: Sequence[str], hops: int, types: Sequenc
     return reached
 
 
-def weighted(edges: DataFrame, seeds: Sequence[str], hops: int, min_weight: float = 0.0) -> DataFrame:
+def weighted(edges: DataFrame, seeds: Seeds, hops: int, min_weight: float = 0.0) -> DataFrame:
     """(node, weight): the best product of weights over walks of at most so many edges; seeds have 1, and walks may return."""
     spark = edges.sparkSession
     links = allowed(edges, min_weight=min_weight).groupBy(F.col("source_id").alias("s"), F.col("target_id").alias("t")).agg(F.max("weight").alias("weight"))
@@ -83,7 +89,7 @@ def counts(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("source_id", "target_id")).alias("node"), "id").agg(F.count_distinct("node").alias("nodes"), F.count_distinct("id").alias("edges"))
 
 
-def pagerank(edges: DataFrame, seeds: Sequence[str], alpha: float = ALPHA, rounds: int = ROUNDS, epsilon: float = EPSILON) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: Seeds, alpha: float = ALPHA, rounds: int = ROUNDS, epsilon: float = EPSILON) -> DataFrame:
     """(node, rank) by personalized PageRank: undirected, without weights, from 1/n each.
 
     A round is a join of ranks with edges and a sum, both by the same key. The change is looked at every few rounds, so it
@@ -91,12 +97,13 @@ def pagerank(edges: DataFrame, seeds: Sequence[str], alpha: float = ALPHA, round
     the jump to themselves. No seeds give no rows.
     """
     spark = edges.sparkSession
-    seeds = list(dict.fromkeys(seeds))
+    wanted = cut(seeds_table(spark, seeds), "seeds")
+    n_seeds = wanted.count()
     links = both_ways(edges).groupBy("src", "dst").agg(F.count("*").alias("times"))
     links = cut(links.join(links.groupBy("src").agg(F.sum("times").alias("degree")), "src").select("src", "dst", (F.col("times") / F.col("degree")).alias("share")), "links")
-    nodes = cut(links.select(F.col("src").alias("node")).distinct().join(F.broadcast(seeds_table(spark, seeds).withColumn("seed", F.lit(1.0 / max(1, len(seeds))))), "node", "left").fillna(0.0, ["seed"]), "nodes")
+    nodes = cut(links.select(F.col("src").alias("node")).distinct().join(wanted.withColumn("seed", F.lit(1.0 / max(1, n_seeds))), "node", "left").fillna(0.0, ["seed"]), "nodes")
     n = nodes.count()
-    if not seeds or not n:
+    if not n_seeds or not n:
         return nodes.select("node", F.lit(0.0).alias("rank")).limit(0)
     ranks = nodes.select("node", F.lit(1.0 / n).alias("rank"))
     done = 0
@@ -116,7 +123,7 @@ def pagerank(edges: DataFrame, seeds: Sequence[str], alpha: float = ALPHA, round
     return ranks
 
 
-def subgraph(edges: DataFrame, seeds: Sequence[str], hops: int, types: Sequence[str] = (), at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def subgraph(edges: DataFrame, seeds: Seeds, hops: int, types: Sequence[str] = (), at: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, hops) within reach, and the allowed edges between them, once per relation."""
     nodes = neighbours(edges, seeds, hops, types, at)
     held = allowed(edges, types, at).dropDuplicates(["id"])
@@ -146,16 +153,26 @@ def summarize(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return blocks.agg(F.when(F.count("*") == 0, "No graph context available.").otherwise(F.concat(F.lit("Context from knowledge graph:\n"), text)).alias("text"))
 
 
-def expand_communities(communities: DataFrame, seeds: Sequence[str]) -> list[str]:
-    """Seeds and the members of communities that hold one, in one pass from the oldest community: members that an earlier one added count for later ones. Only communities that could be met are looked at, as ids."""
-    found = dict.fromkeys(seeds)
-    for row in communities.orderBy("created_at", "id").select("member_ids").toLocalIterator():
-        if any(m in found for m in row["member_ids"] or []):
-            found |= dict.fromkeys(row["member_ids"])
-    return list(found)
+def expand_communities(communities: DataFrame, seeds: Seeds) -> DataFrame:
+    """(node): seeds, and the members of communities that hold one, in one pass from the oldest community: members that an earlier one added count for later ones, not for those before it.
+
+    A community is met if it holds a seed, or a member of an older one that is met; rounds of joins find them all.
+    """
+    start = seeds_table(communities.sparkSession, seeds)
+    # Age and id together order communities; the order is compared as a struct, so no rows are numbered in one task.
+    members = cut(communities.select(F.struct("created_at", "id").alias("age"), F.explode("member_ids").alias("node")), "members")
+    reached = cut(members.join(start, "node", "left_semi").select("age").distinct(), "met")
+    while True:
+        oldest = members.join(reached, "age").groupBy("node").agg(F.min("age").alias("since"))
+        more = members.join(oldest, "node").filter(F.col("age") > F.col("since")).select("age").distinct().join(reached, "age", "left_anti")
+        more = cut(more, "met")
+        if more.isEmpty():
+            break
+        reached = reached.unionByName(more)
+    return start.unionByName(members.join(reached, "age").select("node")).distinct()
 
 
-def channel(edges: DataFrame, seeds: Sequence[str], scorer: str = "bfs", hops: int = 2, types: Sequence[str] = (), at: Column | None = None, min_weight: float = 0.0, compose: bool = False) -> DataFrame:
+def channel(edges: DataFrame, seeds: Seeds, scorer: str = "bfs", hops: int = 2, types: Sequence[str] = (), at: Column | None = None, min_weight: float = 0.0, compose: bool = False) -> DataFrame:
     """(node, score) by a scorer, without the seeds.
 
     Unless told to compose them, a time leaves the types out, PageRank looks at neither nor at hops, and weights only at
@@ -173,4 +190,4 @@ def channel(edges: DataFrame, seeds: Sequence[str], scorer: str = "bfs", hops: i
         scored = near.filter("hops > 0").select("node", F.try_divide(F.lit(1.0), F.col("hops")).alias("score"))
     else:
         raise ValueError(f"no scorer {scorer!r}")
-    return scored.join(F.broadcast(seeds_table(spark, seeds)), "node", "left_anti")
+    return scored.join(seeds_table(spark, seeds), "node", "left_anti")

@@ -91,6 +91,13 @@ class InvertedFile:
         return nearest(self.cells.filter(F.col("cell").isin([int(c) for c in order])), query, k)
 
 
+def nearest_adaptive(table: DataFrame, query: Sequence[float], k: int, index: InvertedFile | None = None) -> DataFrame:
+    """An exact scan of few vectors; from ``INDEX_FROM`` on the index, if there is one."""
+    if index is None or table.filter(F.col("embedding").isNotNull()).limit(INDEX_FROM).count() < INDEX_FROM:
+        return nearest(table, query, k)
+    return index.search(query, k)
+
+
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []

@@ -273,8 +273,7 @@ def subgraph_text(g: KnowledgeGraph) -> DataFrame:
 
 @query("SELECT unnest(['n:0', 'x:1']) AS node UNION SELECT 'c:' || c_custkey FROM customer WHERE c_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = 1)")
 def community_expand(g: KnowledgeGraph) -> DataFrame:
-    found = graph.expand_communities(g.communities(), ["n:0", "x:1", "c:1"])
-    return graph.seeds_table(g.spark, found)
+    return graph.expand_communities(g.communities(), ["n:0", "x:1", "c:1"])
 
 
 @query(f"WITH n AS ({_bfs_sql(VALID)}) SELECT node, round(1.0 / hops, 9) AS score FROM n WHERE hops > 0")
