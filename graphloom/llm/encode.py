@@ -3,11 +3,16 @@
 Where a tokenizer treats every white-space-free run of a text by itself, a run's ids do not depend on what stands around
 it, so a worker asks the library once for each run and remembers the answer. Where that does not hold, the library gets
 the whole text.
+
+Runs that are plain letters, which most new ones are, are not put to the library one by one: their merges are made for
+thousands of them side by side (``Merges``), by the vocabulary's own merge ranks.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from itertools import chain
 
 import numpy as np
 
@@ -28,6 +33,87 @@ def runs_apart(path: str) -> bool:
     return bool(plain and steps == [("NFC", None), ("Replace", " "), ("Lowercase", None)] and splits and not spec["model"].get("dropout"))
 
 
+#: Bytes of a run that is merged side by side with others, and how many are.
+LONGEST, TOGETHER = 48, 4096
+#: ASCII letters in lower case, and letters of one further Latin block, which are two bytes and of which none is a mark.
+_letters = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+
+#: Such letters, then ASCII marks other than the apostrophe: the marks are a token run of their own.
+_marked = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+
+
+def byte_characters() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
+class Merges:
+    """Byte-pair merges of many words at once. A row holds a word's symbols; each round merges the first pair of the least rank of every row."""
+
+    def __init__(self, model: dict):
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        characters = byte_characters()
+        self.inner = np.array([vocab[c] for c in characters], np.int64)
+        self.last = np.array([vocab[c + end] for c in characters], np.int64)
+        self.size = len(vocab) + 1
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
+        # A pair that is listed twice has its last rank.
+        order = np.lexsort((-np.arange(len(keys)), keys))
+        order = order[np.concatenate([[True], np.diff(keys[order]) != 0])]
+        self.keys, self.ranks = keys[order], order
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.none = len(pairs)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; symbols below 0 are no symbols."""
+        key = np.where((a < 0) | (b < 0), -1, a * self.size + b)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], self.none)
+
+    def encode(self, words: list[bytes], dtype: np.dtype) -> list[bytes]:
+        """The ids of words of one byte and more, which are one pre-token each."""
+        lengths = np.array([len(w) for w in words])
+        columns = np.arange(lengths.max())
+        held = columns < lengths[:, None]
+        data = np.frombuffer(b"".join(words), np.uint8)
+        symbols = np.full(held.shape, -1, np.int64)
+        symbols[held] = self.inner[data]
+        rows = np.arange(len(words))
+        symbols[rows, lengths - 1] = self.last[data[np.cumsum(lengths) - 1]]
+        ranks = np.full(held.shape, self.none, np.int64)
+        ranks[:, :-1] = self.rank(symbols[:, :-1], symbols[:, 1:])
+        done = symbols.copy()
+        while len(rows):
+            at = ranks.argmin(axis=1)
+            least = ranks[np.arange(len(rows)), at]
+            more = least < self.none
+            if not more.all():
+                done[rows[~more]] = symbols[~more]
+                rows, symbols, ranks, at, least = rows[more], symbols[more], ranks[more], at[more], least[more]
+                if not len(rows):
+                    break
+            here = np.arange(len(rows))
+            symbols[here, at] = self.made[least]
+            # What follows the pair moves up.
+            source = np.minimum(columns + (columns > at[:, None]), len(columns) - 1)
+            tail = np.full(len(rows), -1)
+            symbols = np.take_along_axis(symbols, source, axis=1)
+            symbols[:, -1] = tail
+            ranks = np.take_along_axis(ranks, source, axis=1)
+            ranks[:, -1] = self.none
+            following = np.minimum(at + 1, len(columns) - 1)
+            ranks[here, at] = np.where(following > at, self.rank(symbols[here, at], symbols[here, following]), self.none)
+            before = np.maximum(at - 1, 0)
+            ranks[here, before] = np.where(at > 0, self.rank(symbols[here, before], symbols[here, at]), ranks[here, before])
+        kept = done >= 0
+        flat = done[kept].astype(dtype).tobytes()
+        ends = (np.cumsum(kept.sum(axis=1)) * dtype.itemsize).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 class Encoder(dict):
     """encode(): the ids of each text, as little-endian bytes of ``dtype``: two bytes an id if the vocabulary allows."""
 
@@ -36,25 +122,51 @@ class Encoder(dict):
         self.tokenizer = common.load_tokenizer(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.apart = runs_apart(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        plain = model["type"] == "BPE" and model.get("end_of_word_suffix") and not model.get("continuing_subword_prefix") and not model.get("ignore_merges")
+        self.merges = Merges(model) if self.apart and plain else None
 
     def ask(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def __missing__(self, run: bytes) -> bytes:
-        # A full stop or comma after an ASCII letter is a token of its own.
-        if run[-1:] in (b".", b",") and 97 <= (run[-2:-1] or b"\0")[0] <= 122 and not run.endswith(b"|>"):
-            ids = self[run[:-1]] + self[run[-1:]]
-        else:
-            ids = self.ask(run.decode())
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(run) <= 64:
-            self[run] = ids
-        return ids
+    def learn(self, runs: set[bytes]) -> None:
+        """Remembers the ids of runs."""
+        words: list[bytes] = []
+        split: list[tuple[bytes, bytes, bytes]] = []
+        for r in runs:
+            if self.merges is not None and len(r) <= LONGEST:
+                if _letters(r):
+                    words.append(r)
+                    continue
+                if found := _marked(r):
+                    split.append((r, *found.groups()))
+                    continue
+            self[r] = self.ask(r.decode())
+        words += {w for _, w, _ in split if w not in self}.difference(words)
+        # Capitals of the Latin block become small letters, as the tokenizer has them.
+        small = [w if w.isascii() else w.decode().lower().encode() for w in words]
+        order = np.argsort([len(w) for w in small], kind="stable").tolist()
+        for at in range(0, len(order), TOGETHER):
+            part = order[at : at + TOGETHER]
+            self.update(zip([words[i] for i in part], self.merges.encode([small[i] for i in part], self.dtype), strict=True))
+        for mark in {m for _, _, m in split if m not in self}:
+            self[mark] = self.ask(mark.decode())
+        for r, w, m in split:
+            self[r] = self[w] + self[m]
 
-    def encode(self, text: bytes) -> bytes:
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
         if not self.apart:
-            return self.ask(text.decode())
+            return [self.ask(t.decode()) for t in texts]
         # Lower case comes first, but for texts that may hold a special string in capitals, which lower case would make special.
-        runs = text.split() if b"<|" in text else text.lower().split()
-        return b"".join(map(self.__getitem__, runs))
+        runs = [t.split() if b"<|" in t else t.lower().split() for t in texts]
+        new = set(chain.from_iterable(runs)).difference(self)
+        if new:
+            if len(self) + len(new) > REMEMBERED:
+                self.clear()
+                new = set(chain.from_iterable(runs))
+            self.learn(new)
+        return [b"".join(map(self.__getitem__, r)) for r in runs]
+
+    def encode(self, text: bytes) -> bytes:
+        return self.encode_all([text])[0]

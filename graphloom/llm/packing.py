@@ -80,8 +80,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
         random = np.random.default_rng(TaskContext.get().partitionId())
         for batch in common.pieces(batches):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), common.column_bytes(batch.column(1)), strict=True):
-                ids = np.frombuffer(encoder.encode(text) + end, encoder.dtype).astype("<u4")
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoder.encode_all(common.column_bytes(batch.column(1))), strict=True):
+                ids = np.frombuffer(found + end, encoder.dtype).astype("<u4")
                 rows += [(doc_id, k, at, len(part := ids[at : at + capacity]), zlib.crc32(part.tobytes())) for k, at in enumerate(range(0, len(ids), capacity))]
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield common.record_batch(out, **dict(zip(out, columns, strict=False)), salt=random.integers(0, 1 << 62, len(rows)))

@@ -78,7 +78,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         for batch in common.pieces(batches):
             if batch.num_rows:
                 writer = writer or PartWriter(local, TaskContext.get().partitionId(), encoder.dtype, end_id)
-                writer.add(batch.column(0).to_pylist(), [encoder.encode(t) for t in common.column_bytes(batch.column(1))])
+                writer.add(batch.column(0).to_pylist(), encoder.encode_all(common.column_bytes(batch.column(1))))
         if writer:
             writer.close()
             yield common.record_batch(out, part=[writer.part], n_docs=[writer.rows], n_tokens=[writer.total], dtype=[encoder.dtype.str])
