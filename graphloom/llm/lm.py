@@ -212,10 +212,16 @@ def score_texts(docs: DataFrame, may_learn: Column, held_out: Column, id_col: st
     n_words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # The end is a token of each text.
     n_all, v_all = n_words + n_texts, distinct + (n_texts > 0)
-    # A bounded number of words comes to the driver: the most frequent, ties in byte order.
-    frequent = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.col("c").desc(), F.col("word")).limit(n_symbols).collect()]
-    least = frequent[-1] if len(frequent) == n_symbols else (b"", 0)
-    is_rare = (F.col("c") < least[1]) | ((F.col("c") == least[1]) & (F.col("word") > F.lit(bytearray(least[0])))) if least[1] else F.lit(False)
+    # The most frequent words, at most n_symbols, come to the driver: those of a level of counts and above it.
+    level = F.floor(F.log2(F.col("c").cast("double")) * 64).cast("int")
+    least, held = 0, 0
+    for row in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.col("level").desc()).collect():
+        held += row["n"]
+        if held > n_symbols:
+            least = row["level"] + 1
+            break
+    frequent = sorted(((bytes(r[0]), r[1]) for r in counts.filter(level >= least).collect()), key=lambda r: (-r[1], r[0]))
+    is_rare = level < least
     rare_counts = counts.filter(is_rare)
     by_class = np.zeros((CLASSES, 2))
 
