@@ -4,12 +4,13 @@ A document's set is its distinct shingles of five words (A-Z lower-cased), as 64
 sequence is one shingle. Documents with the same set are one class, and only classes are joined.
 
 1. A signature of ``POSITIONS`` minwise values is made of each set.
-2. Chosen paths. A node starts as all classes. It branches on some positions of the signature, picked by a seeded hash of
+2. Chosen paths. A node starts as all classes. It branches on a position of the signature, picked by a seeded hash of
    the node's path so that all its members pick alike; members that agree on the value there go on together. Independent
    trees are repeated to reach the target recall; their first branches are dealt without repetition, since the same
    first branch would hold the same classes. Nodes of one class end. Nodes of up to ``SMALL`` classes are compared
-   exhaustively by signature; larger ones branch again, level by level, for the classes that were in fewer than
-   ``ENOUGH`` smaller ones, and so may have been missed. Those still large after ``DEPTH`` levels agree on
+   exhaustively by signature; larger ones branch again, level by level, with all their classes: what a class met in
+   smaller nodes says nothing about those it shares only large ones with, by a passage that many hold. A node goes on
+   by one position, so a level has no more rows than the one before. Those still large after ``DEPTH`` levels agree on
    so many values that they are taken as related as they are: this only gives more to confirm.
 3. Related classes form families (connected components). Within a family the pairs that are not connected yet are
    confirmed on full sets: 100 * intersection >= 75 * union. A family whose sets exceed ``CHUNK_BYTES`` is cut into
@@ -17,10 +18,9 @@ sequence is one shingle. Documents with the same set are one class, and only cla
 4. Confirmed links give the components. Pairs already connected need no link of their own, so a group of g copies has
    g - 1 links, never all pairs.
 
-A pair with similarity 0.75 shares a first branch on about 20 of the 27 dealt positions. If one of the two is in ENOUGH
-small nodes, it is missed with a probability of 1e-6; else both go on, and each level keeps the pair with probability 0.63
-or more in each shared node, so a loss by the paths is under 1e-5. Signatures agree on at least half their
-positions with probability 0.99999.
+A pair with similarity 0.75 shares a first branch on about 20 of the 27 dealt positions, and each of the two further
+levels keeps it with probability 0.75 in each, however large the nodes are: it is lost by the paths with a probability of
+(1 - 0.75 * 0.75 * 0.75)^27, under 1e-6. Signatures agree on at least half their positions with probability 0.99999.
 
 Null and empty texts have an empty set and are linked with nothing. Rows that share an id are one document with several
 sets. Rows without an id have no component and are kept. Extra columns play no part.
@@ -43,13 +43,10 @@ SHINGLE = 5
 #: Similarity of linked documents, in hundredths.
 PERCENT = 75
 POSITIONS = 64
-#: Positions on which a node branches, on average: 1 / similarity, so that a path goes on for similar pairs.
+#: First branches are dealt as if each tree had 1 / similarity of them, so that a path goes on for similar pairs.
 BRANCHES = POSITIONS * PERCENT // 100
 TREES = 20
 SMALL, DEPTH = 256, 3
-#: First branches on which a class was looked at exhaustively, from which on its large nodes need not branch for it: a
-#: similar class shares none of them with a probability of 0.25 to this power.
-ENOUGH = 10
 #: Least number of agreeing positions of related classes.
 AGREE = POSITIONS // 2
 #: Bytes of the sets of a chunk of a family.
@@ -206,12 +203,8 @@ def related(classes: DataFrame) -> DataFrame:
             break
         if large.isEmpty():
             break
-        if depth == 1:
-            # Nodes of one class are gone from the level: all but the large ones count as looked at.
-            left = large.groupBy("class").agg(F.count("*").alias("n")).filter(F.col("n") > len(FIRST) - ENOUGH)
-            large = large.join(left, "class", "left_semi")
-        picked = F.filter(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), lambda p: F.pmod(F.xxhash64(F.col("node"), p, F.lit(depth)), F.lit(BRANCHES)) == 0)
-        grown = large.select("node", "class").join(classes.select("class", "values"), "class").withColumn("p", F.explode(picked))
+        position = F.pmod(F.xxhash64(F.col("node"), F.lit(depth)), F.lit(POSITIONS)).cast("int")
+        grown = large.select("node", "class").join(classes.select("class", "values"), "class").withColumn("p", position)
         level = common.materialize(_sized(grown.select(F.xxhash64("node", "p", _value(F.col("p"))).alias("node"), "class").distinct()), "level")
     return edges.distinct()
 

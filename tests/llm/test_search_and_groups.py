@@ -135,6 +135,15 @@ def test_near_duplicates_branch_and_chunk(spark, monkeypatch):
     check_groups(spark.createDataFrame(rows, "doc_id long, text string"), rows, chunk_bytes=3000)
 
 
+def test_near_duplicates_share_only_a_hot_passage(spark):
+    """A passage that far over SMALL documents hold, each similar to the passage alone: its nodes are large, the others hold one class."""
+    rng = random.Random(12)
+    passage = [f"p{rng.randint(0, 99999)}" for _ in range(120)]
+    rows = [(0, " ".join(passage))] + [(1 + i, " ".join(passage + [f"d{i}w{k}" for k in range(38)])) for i in range(600)]
+    rows += [(1000 + i, " ".join(passage + [f"e{i}w{k}" for k in range(200)])) for i in range(20)]
+    check_groups(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
 def test_one_large_group(spark):
     rng = random.Random(9)
     base = [f"v{rng.randint(0, 9999)}" for _ in range(120)]
