@@ -9,9 +9,9 @@ their last letters; a rarer word is its class's symbol, then the word within its
 where words without a count share the one that is added. So the model is exact over all texts, and its states and
 emissions stay of a fixed size while the counts grow with the corpus.
 
-Baum-Welch trains the states. A first few rounds on a bounded sample of training texts set them up (``SAMPLE_ROWS``, a
-documented bound); then rounds over all training texts follow, in which each task adds up the expected counts of its
-texts, and the sums over tasks give the next model. The scaled forward recursion over a text's symbols gives its exact
+Baum-Welch trains the states in ``ROUNDS`` rounds, each over all training texts, at every size: each task adds up the
+expected counts of its texts, and the sums over tasks give the next model. For that the training texts are stored once
+as symbols. The scaled forward recursion over a text's symbols gives its exact
 likelihood; the parts within classes do not depend on states and are added through a join of the rare words of all texts
 with their counts.
 
@@ -38,14 +38,18 @@ STATES = 6
 SYMBOLS = 65_536
 #: Classes of rarer words.
 CLASSES = 2048
-SAMPLE_ROWS, SAMPLE_ROUNDS = 2000, 6
-ROUNDS = 1
+#: Rounds of Baum-Welch over all training texts.
+ROUNDS = 7
 #: Added to expected counts.
 PRIOR = 0.05
 #: Distinct words that a counting task holds before it sends them on.
 HELD = 400_000
-#: Tokens of the texts that are processed side by side.
-BATCH_TOKENS = 300_000
+#: Tokens of the texts that are trained on side by side, but for a longer text.
+BATCH_TOKENS = 1_500_000
+#: Tokens of a text that is trained on beside others as long.
+LONG = 1500
+#: Cells whose expected counts are added up at once.
+PART_TOKENS = 50_000
 #: Texts that are read at once.
 TEXTS = 1024
 _kept: dict = {}
@@ -121,33 +125,29 @@ class Model:
         return Model((start + 1) / (start + 1).sum(), (move + 1) / (move + 1).sum(axis=1, keepdims=True), emit / emit.sum(axis=0)) if states else Model(start, move, emit)
 
 
-def side_by_side(lengths: np.ndarray) -> Iterator[np.ndarray]:
-    """Places of texts in groups of like length, longest first within a group; a group has about BATCH_TOKENS cells."""
-    order, at = np.argsort(-lengths, kind="stable"), 0
-    while at < len(order):
-        n = max(1, BATCH_TOKENS // int(lengths[order[at]]))
-        yield order[at : at + n]
-        at += n
+def packed(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols by step, then text, without gaps; how many texts are as long as each step; where each step begins. Texts come longest first."""
+    lengths = np.array([len(s) for s in sequences])
+    active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
+    begin = np.concatenate([[0], np.cumsum(active)])
+    step = np.arange(begin[-1]) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    cells = np.empty(begin[-1], np.int32)
+    cells[begin[step] + np.repeat(np.arange(len(lengths)), lengths)] = np.concatenate(sequences)
+    return cells, active, begin
 
 
-def grid(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols by step and text, and how many texts are as long as each step; texts come longest first."""
-    lengths = np.array([len(s) for s in sequences])
-    cells = np.zeros((lengths[0], len(sequences)), np.int32)
-    for i, s in enumerate(sequences):
-        cells[: len(s), i] = s
-    active = (lengths[None, :] > np.arange(lengths[0])[:, None]).sum(axis=1)
-    return cells, active
+def longest_first(sequences: list[np.ndarray]) -> np.ndarray:
+    return np.argsort([-len(s) for s in sequences], kind="stable")
 
 
 def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 likelihood of each sequence by the scaled forward recursion; sequences come longest first."""
-    cells, active = grid(sequences)
-    total, held = np.zeros(len(sequences)), np.empty((0, 0))
+    cells, active, begin = packed(sequences)
+    total, held, ones = np.zeros(len(sequences)), np.empty((0, 0)), np.ones(len(model.start))
     for step, n in enumerate(active):
-        emitted = model.emit[cells[step, :n]]
+        emitted = model.emit[cells[begin[step] : begin[step + 1]]]
         held = (model.start * emitted) if step == 0 else (held[:n] @ model.move) * emitted
-        scale = held.sum(axis=1)
+        scale = held @ ones
         held /= scale[:, None]
         total[:n] += np.log10(scale)
     return total
@@ -155,43 +155,77 @@ def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
 
 def expected(model: Model, sequences: list[np.ndarray], sums: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
     """Adds the expected counts of starts, moves and emissions to sums; sequences come longest first."""
-    cells, active = grid(sequences)
-    steps, states = len(active), len(model.start)
-    alphas = np.zeros((steps, len(sequences), states))
-    scales = np.ones((steps, len(sequences)))
-    for step, n in enumerate(active):
-        emitted = model.emit[cells[step, :n]]
-        held = model.start * emitted if step == 0 else (alphas[step - 1, :n] @ model.move) * emitted
-        scales[step, :n] = held.sum(axis=1)
-        alphas[step, :n] = held / scales[step, :n, None]
-    beta = np.ones((len(sequences), states))
+    cells, active, begin = packed(sequences)
+    ones, back = np.ones(len(model.start)), np.ascontiguousarray(model.move.T)
+    emitted = model.emit[cells]
+    alphas = np.empty_like(emitted)
+    at, counts = begin.tolist(), active.tolist()
+    for step, n in enumerate(counts):
+        now, here = emitted[at[step] : at[step + 1]], alphas[at[step] : at[step + 1]]
+        if step == 0:
+            np.multiply(model.start, now, out=here)
+        else:
+            np.matmul(alphas[at[step - 1] : at[step - 1] + n], model.move, out=here)
+            here *= now
+        inverse = (1 / (here @ ones))[:, None]
+        here *= inverse
+        now *= inverse
+    # Backward: emitted becomes what a text's step and those after it give, scaled.
+    beta = np.ones((len(sequences), len(ones)))
+    for step in range(len(counts) - 1, 0, -1):
+        now, later = emitted[at[step] : at[step + 1]], beta[: counts[step]]
+        now *= later
+        np.matmul(now, back, out=later)
     start, move, emit = sums
-    for step in range(steps - 1, -1, -1):
-        n = active[step]
-        weight = alphas[step, :n] * beta[:n]
-        alphas[step, :n] = weight
-        if step:
-            after = beta[:n] * model.emit[cells[step, :n]] / scales[step, :n, None]
-            # alphas[step - 1] is still the forward one.
-            move += model.move * (alphas[step - 1, :n].T @ after)
-            beta[:n] = after @ model.move.T
-    start += alphas[0, : active[0]].sum(axis=0)
-    inside = np.arange(len(sequences))[None, :] < active[:, None]
-    symbols, weights = cells[inside], alphas[inside]
-    for k in range(states):
-        emit[:, k] += np.bincount(symbols, weights[:, k], len(emit))
-
-
-def expected_counts(texts: DataFrame, symbols, mark: str, model, size: int, states: int) -> DataFrame:
-    """texts (text) to (symbol, counts): sums over all texts; symbol -1 has starts, -2 and below have moves from each state. Each task sends only symbols that it saw."""
+    start += (alphas[: at[1]] * beta).sum(axis=0)
+    # The same text's cell a step before.
+    first = at[1]
+    before = np.arange(first, at[-1]) - np.repeat(active[:-1], active[1:])
+    parts = [slice(low, low + PART_TOKENS) for low in range(0, len(before), PART_TOKENS)]
+    move += model.move * sum((alphas[before[p]].T @ emitted[first:][p] for p in parts), np.zeros_like(move))
+    # What follows a cell, at the cell: a text's last step has nothing after it.
+    for p in parts:
+        alphas[before[p]] *= emitted[first:][p] @ back
+    for k in range(len(ones)):
+        emit[:, k] += np.bincount(cells, alphas[:, k], len(emit))
+
+
+def as_symbols(texts: DataFrame, symbols, mark: str) -> DataFrame:
+    """texts (text) to (symbols): each text's symbols with its end, as 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.worker_cache(_kept, mark, lambda: Symbols(*symbols.value))
-        sums = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
         for batch in common.pieces(batches, TEXTS):
-            sequences = [known.of(t)[0] for t in common.column_bytes(batch.column(0))]
-            for group in side_by_side(np.array([len(s) for s in sequences])):
-                expected(model.value, [sequences[i] for i in group], sums)
+            yield common.record_batch({"symbols": pa.binary()}, symbols=[known.of(t)[0].astype("<i4").tobytes() for t in common.column_bytes(batch.column(0))])
+
+    return common.map_arrow(texts, run, "symbols binary")
+
+
+def expected_counts(texts: DataFrame, model, size: int, states: int) -> DataFrame:
+    """texts (symbols) to (symbol, counts): sums over all texts; symbol -1 has starts, -2 and below have moves from each state. Each task sends only symbols that it saw."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
+        # Long texts wait for each other, as a step costs about the same for few texts as for many.
+        held: dict[bool, list[np.ndarray]] = {False: [], True: []}
+        tokens = {False: 0, True: 0}
+
+        def add(kind: bool) -> None:
+            expected(model.value, [held[kind][i] for i in longest_first(held[kind])], sums)
+            held[kind].clear()
+            tokens[kind] = 0
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                sequence = np.frombuffer(text, "<i4")
+                kind = len(sequence) > LONG
+                if held[kind] and tokens[kind] + len(sequence) > BATCH_TOKENS:
+                    add(kind)
+                held[kind].append(sequence)
+                tokens[kind] += len(sequence)
+        for kind in held:
+            if held[kind]:
+                add(kind)
         seen = np.flatnonzero(sums[2].sum(axis=1) > 0)
         numbers = np.concatenate([[-1], -2 - np.arange(states), seen])
         counts = np.concatenate([sums[0][None, :], sums[1], sums[2][seen]])
@@ -203,7 +237,7 @@ def expected_counts(texts: DataFrame, symbols, mark: str, model, size: int, stat
     return common.map_arrow(texts, run, schema).groupBy("symbol").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)])
 
 
-def score_texts(docs: DataFrame, may_learn: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, n_symbols: int = SYMBOLS, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS, seed: int = 13) -> DataFrame:
+def score_texts(docs: DataFrame, may_learn: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, n_symbols: int = SYMBOLS, rounds: int = ROUNDS, seed: int = 13) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all texts."""
     spark = docs.sparkSession
     learnt = docs.filter(may_learn).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -243,21 +277,18 @@ def score_texts(docs: DataFrame, may_learn: Column, held_out: Column, id_col: st
     shares = np.concatenate([totals, by_class[:, 0], [n_texts]]) + 0.5
     shares /= shares.sum()
     model = Model.first(states, shares, seed)
-    limit = min(1.0, sample_rows / max(1, n_texts))
-    sample = learnt.filter(common.hash_fraction(seed, F.col("id")) < limit).select("text")
     if n_texts:
-        sample = common.materialize(sample, "sample") if limit < 1 else sample
-        for stage, times in ((sample, SAMPLE_ROUNDS), (learnt.select("text"), rounds)):
-            for _ in range(times):
-                sent = spark.sparkContext.broadcast(model)
-                start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
-                found = expected_counts(stage, symbols, mark, sent, size, states).toArrow().to_pandas()
-                numbers, values = found["symbol"].to_numpy(), found.iloc[:, 1:].to_numpy()
-                start[:] = values[numbers == -1].sum(axis=0)
-                for k in range(states):
-                    move[k] = values[numbers == -2 - k].sum(axis=0)
-                emit[numbers[numbers >= 0]] = values[numbers >= 0]
-                model = Model.from_counts(start, move, emit, shares)
+        stored = common.materialize(as_symbols(learnt.select("text"), symbols, mark), "symbols")
+        for _ in range(rounds):
+            sent = spark.sparkContext.broadcast(model)
+            start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
+            found = expected_counts(stored, sent, size, states).toArrow().to_pandas()
+            numbers, values = found["symbol"].to_numpy(), found.iloc[:, 1:].to_numpy()
+            start[:] = values[numbers == -1].sum(axis=0)
+            for k in range(states):
+                move[k] = values[numbers == -2 - k].sum(axis=0)
+            emit[numbers[numbers >= 0]] = values[numbers >= 0]
+            model = Model.from_counts(start, move, emit, shares)
     final = spark.sparkContext.broadcast((model, by_class))
     unit = 1 / (n_all + v_all + 1)
     end_count = n_texts
@@ -271,8 +302,8 @@ def score_texts(docs: DataFrame, may_learn: Column, held_out: Column, id_col: st
             read = [known.of(t) for t in common.column_bytes(batch.column(1))]
             sequences = [s for s, _ in read]
             scores = np.zeros(len(read))
-            for group in side_by_side(np.array([len(s) for s in sequences])):
-                scores[group] = forward(trained, [sequences[i] for i in group])
+            order = longest_first(sequences)
+            scores[order] = forward(trained, [sequences[i] for i in order])
             common_words = [s[(s < known.n_words) | (s == known.end)] for s in sequences]
             rare = [Counter(words) for _, words in read]
             owner = np.repeat(np.arange(len(read)), [len(r) for r in rare])

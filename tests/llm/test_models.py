@@ -204,6 +204,30 @@ def test_hidden_markov_beats_the_base(spoken):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+@pytest.mark.parametrize("n", [40, 2600])
+def test_hidden_markov_trains_on_all_texts(spark, monkeypatch, n):
+    """Every round reads every training text, as many rounds at each size, and gives what Baum-Welch over all of them gives."""
+    texts = [f"a{i % 7} b{i % 5} " * (1 + i % 4) + f"late{i % 3}" * (i % 13 == 0) for i in range(n)]
+    table, read = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), []
+    counts = lm.expected_counts
+    monkeypatch.setattr(lm, "expected_counts", lambda texts, *more: read.append(texts.count()) or counts(texts, *more))
+    found = {r["doc_id"]: r["score"] for r in lm.score_texts(table, F.lit(True), F.lit(False)).collect()}
+    assert read == [n] * 7
+    words = Counter(w for t in texts for w in t.encode().split())
+    frequent = sorted(words.items(), key=lambda r: (-r[1], r[0]))
+    symbols = lm.Symbols([w for w, _ in frequent], [c for _, c in frequent])
+    shares = np.array([*(c for _, c in frequent), *[0] * lm.CLASSES, n]) + 0.5
+    shares /= shares.sum()
+    model = lm.Model.first(lm.STATES, shares, 13)
+    sequences = sorted((symbols.of(t.encode())[0] for t in texts), key=len, reverse=True)
+    for _ in range(7):
+        sums = np.zeros(lm.STATES), np.zeros((lm.STATES, lm.STATES)), np.zeros((symbols.size, lm.STATES))
+        lm.expected(model, sequences, sums)
+        model = lm.Model.from_counts(*sums, shares)
+    for i in range(0, n, 17):
+        assert math.isclose(found[i], lm.forward(model, [symbols.of(texts[i].encode())[0]])[0], rel_tol=1e-6)
+
+
 def test_hidden_markov_edges(docs, empty):
     assert lm.score_texts(empty, F.lit(True), F.lit(False)).count() == 0
     rows = lm.score_texts(docs, F.lit(False), F.lit(False)).collect()
