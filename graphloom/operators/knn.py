@@ -49,16 +49,20 @@ def nearest_quantized(table: DataFrame, query: Sequence[float], k: int) -> DataF
 
 
 class InvertedFile:
-    """Vectors by their nearest of a few centres; a search reads the cells nearest to the query.
+    """Vectors by their nearest of a few centres; a search reads the cells that can hold one of the nearest.
 
     Centres come from a bounded sample (``SAMPLE`` vectors, seeded); every vector is indexed. Store ``cells``
-    partitioned by cell, and a search prunes to the cells that it probes.
+    partitioned by cell, and a search prunes to the cells that it reads. radii: by cell, the largest angle between the
+    centre and a vector of the cell; a vector is no nearer to the query than the centre's angle less the radius, so a
+    search without a number of probes is exact, however many cells there are.
     """
 
     SAMPLE = 20_000
+    #: Cells that are read for a first distance, which the bounds of the others are held against.
+    FIRST = 8
 
-    def __init__(self, centres: np.ndarray, cells: DataFrame):
-        self.centres, self.cells = centres, cells
+    def __init__(self, centres: np.ndarray, cells: DataFrame, radii: np.ndarray):
+        self.centres, self.cells, self.radii = centres, cells, radii
 
     @staticmethod
     def build(table: DataFrame, n_cells: int | None = None, seed: int = 7, rounds: int = 8) -> InvertedFile:
@@ -80,15 +84,39 @@ class InvertedFile:
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch):
-                    v = np.stack(batch["embedding"].to_numpy())
-                    yield batch.assign(cell=(v @ centres.T).argmax(axis=1).astype("int32"))
-
-        cells = rows.mapInPandas(assign, "id string, kb_id string, embedding array<float>, cell int")
-        return InvertedFile(centres, cut(cells, "cells"))
-
-    def search(self, query: Sequence[float], k: int, probes: int = 8) -> DataFrame:
+                    v = np.stack(batch["embedding"].to_numpy()).astype(float)
+                    products, lengths = v @ centres.T, np.linalg.norm(v, axis=1)
+                    # A vector without a direction may be anywhere.
+                    cosine = np.divide(products.max(axis=1), lengths, out=np.full(len(v), -1.0), where=lengths > 0)
+                    yield batch.assign(cell=products.argmax(axis=1).astype("int32"), cosine=cosine)
+
+        cells = cut(rows.mapInPandas(assign, "id string, kb_id string, embedding array<float>, cell int, cosine double"), "cells")
+        radii = np.zeros(len(centres))
+        for r in cells.groupBy("cell").agg(F.min("cosine").alias("least")).collect():
+            radii[r["cell"]] = np.arccos(np.clip(r["least"], -1, 1))
+        return InvertedFile(centres, cells.drop("cosine"), radii)
+
+    def _in(self, cells: Sequence[int]) -> DataFrame:
+        return self.cells.filter(F.col("cell").isin([int(c) for c in cells]))
+
+    def to_read(self, query: Sequence[float], k: int) -> list[int]:
+        """The cells that can hold one of the k rows nearest to query."""
+        q = np.asarray(query, float)
+        length = np.linalg.norm(q)
+        cosine = self.centres @ q / (length or 1)
+        order = np.argsort(-cosine, kind="stable")
+        found = nearest(self._in(order[: self.FIRST]), query, k).agg(F.count("*").alias("n"), F.max("distance").alias("far")).first()
+        if not length or not found["n"] or found["n"] < k:
+            return [int(c) for c in order]
+        least = 1 - np.cos(np.maximum(0, np.arccos(np.clip(cosine, -1, 1)) - self.radii))
+        return [int(c) for c in order if least[c] <= found["far"] + 1e-6]
+
+    def search(self, query: Sequence[float], k: int, probes: int | None = None) -> DataFrame:
+        """The k rows nearest to query; with probes, of that many nearest cells only."""
+        if probes is None:
+            return nearest(self._in(self.to_read(query, k)), query, k)
         order = np.argsort(-(self.centres @ np.asarray(query, float)), kind="stable")[:probes]
-        return nearest(self.cells.filter(F.col("cell").isin([int(c) for c in order])), query, k)
+        return nearest(self._in(order), query, k)
 
 
 def nearest_adaptive(table: DataFrame, query: Sequence[float], k: int, index: InvertedFile | None = None) -> DataFrame:

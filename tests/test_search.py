@@ -1,11 +1,15 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import bm25, fusion, knn, scans
+from graphloom.plans import catalogue
 from graphloom.schema import ENTITIES, SearchOptions
 
 T0 = "2025-01-01 00:00:00"
+DATA = os.environ.get("GRAPHLOOM_TEST_DATA", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
@@ -109,6 +113,29 @@ def test_inverted_file_recall(spark):
     assert hits / total >= 0.85
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_inverted_file_default_is_exact(spark):
+    """As registered, on the given vectors."""
+    table = spark.read.parquet(f"{DATA}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("id"), F.lit("k").alias("kb_id"), "embedding").cache()
+    index = knn.InvertedFile.build(table)
+    for q in table.filter("id in ('3', '77', '191', '402')").collect():
+        assert index.search(q["embedding"], 20).select("id", "distance").collect() == knn.nearest(table, q["embedding"], 20).select("id", "distance").collect()
+    found, exact = ({str(r["id"]) for r in catalogue.QUERIES[n](spark, DATA).collect()} for n in ("inverted_file_topk", "cosine_topk"))
+    assert found == exact and len(found) == 20
+
+
+def test_inverted_file_skips_far_cells(spark):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(12, 16))
+    rows = [(f"{i:04d}", "k", [float(x) for x in middles[i % 12] + rng.normal(size=16) / 50]) for i in range(600)] + [("zero", "k", [0.0] * 16)]
+    table = spark.createDataFrame(rows, "id string, kb_id string, embedding array<float>").cache()
+    index = knn.InvertedFile.build(table)
+    query = rows[5][2]
+    assert len(index.to_read(query, 10)) < len(index.centres) / 2
+    for k in (10, 80):
+        assert [r["id"] for r in index.search(query, k).collect()] == [r["id"] for r in knn.nearest(table, query, k).collect()]
+
+
 def test_similar_pairs(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(90, 8))
