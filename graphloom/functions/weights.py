@@ -15,7 +15,8 @@ DEAD = 0.001
 
 
 def clamp(w: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), w))
+    """From 0 to 1; null stays null."""
+    return F.when(w.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), w)))
 
 
 def combine(a: Column, b: Column) -> Column:
@@ -24,8 +25,14 @@ def combine(a: Column, b: Column) -> Column:
 
 
 def combine_all(w: Column) -> Column:
-    """combine() as an aggregate: 0 for no rows. A product, as a weight of 1 has no logarithm."""
-    return F.coalesce(1 - F.product(1 - clamp(w)), F.lit(0.0))
+    """combine() as an aggregate: 0 for no rows; nulls are left out.
+
+    The product is a sum of logarithms as exact decimals, so it is the same in whatever order rows come, and tasks add up
+    their own rows first. A weight of 1 has no logarithm and decides alone.
+    """
+    rest = 1 - clamp(w)
+    logs = F.sum(F.when(rest > 0, F.ln(rest)).cast("decimal(20,18)")).cast("double")
+    return F.when(F.max(rest == 0), F.lit(1.0)).otherwise(F.coalesce(1 - F.exp(logs), F.lit(0.0)))
 
 
 def default_weight(w: Column) -> Column:

@@ -1,25 +1,26 @@
 """Graph traversal over relation tables, level by level.
 
 Edges are (id, source_id, target_id, type, weight, valid_at, invalid_at); direction does not matter for reachability.
-Each level is one equi-join of a frontier with the edges, written to the shared folder, so that lineage stays short and a
-lost executor costs one level. Seeds are a short list of ids.
+Each level is one scan of the edges against a frontier: the frontier is written to the shared folder, so its size is known
+and Spark sends a small one to the scans, which then shuffle only what they meet; lineage stays short and a lost executor
+costs one level. Seeds are a short list of ids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.scans import active
-from graphloom.sources.shared import cut
+from graphloom.sources.shared import cut, cut_by
 
 MAX_HOPS = 10
 #: Fixed values of personalized PageRank.
 ALPHA, ROUNDS, EPSILON = 0.15, 20, 1e-6
-#: Rounds of PageRank between looks at the change.
-ROUNDS_AT_ONCE = 4
+#: Links of a source that stay together.
+HUB_LINKS = 1_000_000
 
 
 #: Seeds of a traversal: a short list of ids, or a table with a column node.
@@ -51,14 +52,19 @@ def both_ways(edges: DataFrame, *more: str) -> DataFrame:
     return there.unionByName(edges.select(F.col("target_id").alias("src"), F.col("source_id").alias("dst"), *more))
 
 
+def steps(edges: DataFrame, *more: str) -> DataFrame:
+    """(src, dst, ...): each edge in both directions, in one scan and with repetitions."""
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    return edges.select(F.inline(F.array(way("source_id", "target_id"), way("target_id", "source_id"))), *more)
+
+
 def neighbours(edges: DataFrame, seeds: Seeds, hops: int, types: Sequence[str] = (), at: Column | None = None) -> DataFrame:
     """(node, hops): the fewest hops from any seed; seeds are at 0, in the graph or not."""
-    spark = edges.sparkSession
-    links = cut(both_ways(allowed(edges, types, at).select("source_id", "target_id")).distinct(), "links")
-    frontier = seeds_table(spark, seeds)
+    links = steps(allowed(edges, types, at))
+    frontier = cut(seeds_table(edges.sparkSession, seeds), "frontier")
     reached = frontier.withColumn("hops", F.lit(0))
     for hop in range(1, min(hops, MAX_HOPS) + 1):
-        met = links.join(frontier, links.src == frontier.node).select(F.col("dst").alias("node")).distinct()
+        met = links.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         frontier = cut(met.join(reached, "node", "left_anti"), "frontier")
         if frontier.isEmpty():
             break
@@ -68,17 +74,34 @@ def neighbours(edges: DataFrame, seeds: Seeds, hops: int, types: Sequence[str] =
 
 def weighted(edges: DataFrame, seeds: Seeds, hops: int, min_weight: float = 0.0) -> DataFrame:
     """(node, weight): the best product of weights over walks of at most so many edges; seeds have 1, and walks may return."""
-    spark = edges.sparkSession
-    links = allowed(edges, min_weight=min_weight).groupBy(F.col("source_id").alias("s"), F.col("target_id").alias("t")).agg(F.max("weight").alias("weight"))
-    links = cut(links.select(F.col("s").alias("src"), F.col("t").alias("dst"), "weight").unionByName(links.select(F.col("t").alias("src"), F.col("s").alias("dst"), "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight")), "links")
-    level = seeds_table(spark, seeds).withColumn("score", F.lit(1.0))
+    links = steps(allowed(edges, min_weight=min_weight), "weight")
+    level = cut(seeds_table(edges.sparkSession, seeds).withColumn("score", F.lit(1.0)), "level")
     found = level
     for _ in range(min(hops, MAX_HOPS)):
-        level = cut(links.join(level, links.src == level.node).groupBy(F.col("dst").alias("node")).agg(F.max(F.col("score") * F.col("weight")).alias("score")), "level")
+        level = cut(links.join(level.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max(F.col("score") * F.col("weight")).alias("score")), "level")
         found = found.unionByName(level)
     return found.groupBy("node").agg(F.max("score").alias("weight"))
 
 
+def add_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
+    """The graph with more edges; one whose id is there already changes nothing, and of several new ones with an id the first by its ends is added."""
+    order = F.struct("source_id", "target_id", "type")
+    columns = [c for c in edges.columns if c != "id"]
+    fresh = more.groupBy("id").agg(*[F.min_by(F.col(c), order).alias(c) for c in columns]).join(edges, "id", "left_anti")
+    return edges.unionByName(fresh.select(*edges.columns))
+
+
+def remove_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """The graph without the edges that gone names by id."""
+    return edges.join(gone.select("id"), "id", "left_anti").select(*edges.columns)
+
+
+def has_entities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, held): whether any edge ends at a node."""
+    met = steps(edges).join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("node"), F.lit(True).alias("held")).distinct()
+    return nodes.select("node").distinct().join(met, "node", "left").fillna(False, ["held"])
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, degree): edges at either end; a loop counts twice, parallel edges each."""
     return both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
@@ -92,44 +115,43 @@ def counts(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, seeds: Seeds, alpha: float = ALPHA, rounds: int = ROUNDS, epsilon: float = EPSILON) -> DataFrame:
     """(node, rank) by personalized PageRank: undirected, without weights, from 1/n each.
 
-    A round is a join of ranks with edges and a sum, both by the same key. The change is looked at every few rounds, so it
-    stops up to three rounds after the first that changes less than epsilon. Seeds outside the graph keep their share of
-    the jump to themselves. No seeds give no rows.
+    It stops after the first round in which no rank changes by epsilon. Links are written once, in buckets by source; a
+    round shuffles ranks and sums, never links. The links of a source with more than ``HUB_LINKS`` are spread over several
+    buckets. Seeds outside the graph keep their share of the jump to themselves. No seeds give no rows.
     """
     spark = edges.sparkSession
     wanted = cut(seeds_table(spark, seeds), "seeds")
     n_seeds = wanted.count()
-    links = both_ways(edges).groupBy("src", "dst").agg(F.count("*").alias("times"))
-    links = cut(links.join(links.groupBy("src").agg(F.sum("times").alias("degree")), "src").select("src", "dst", (F.col("times") / F.col("degree")).alias("share")), "links")
-    nodes = cut(links.select(F.col("src").alias("node")).distinct().join(wanted.withColumn("seed", F.lit(1.0 / max(1, n_seeds))), "node", "left").fillna(0.0, ["seed"]), "nodes")
-    n = nodes.count()
+    counted = cut(both_ways(edges).groupBy("src", "dst").agg(F.count("*").alias("times")), "counted")
+    about = counted.groupBy(F.col("src").alias("node")).agg(F.sum("times").alias("degree"), F.ceil(F.count("*") / F.lit(HUB_LINKS)).cast("int").alias("parts"))
+    about = about.join(wanted.withColumn("seed", F.lit(1.0 / max(1, n_seeds))), "node", "left").fillna(0.0, ["seed"])
+    state = cut(about, "nodes")
+    n = state.count()
     if not n_seeds or not n:
-        return nodes.select("node", F.lit(0.0).alias("rank")).limit(0)
-    ranks = nodes.select("node", F.lit(1.0 / n).alias("rank"))
-    done = 0
-    while done < rounds:
-        for _ in range(min(ROUNDS_AT_ONCE, rounds - done)):
-            before = ranks
-            given = links.join(ranks, links.src == ranks.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
-            ranks = nodes.join(given, "node", "left").select("node", (alpha * F.col("seed") + (1 - alpha) * F.coalesce("given", F.lit(0.0))).alias("rank"))
-            done += 1
-        if epsilon > 0:
-            both = cut(ranks.join(before.withColumnRenamed("rank", "old"), "node"), "ranks")
-            ranks = both.select("node", "rank")
-            if both.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] < epsilon:
-                break
-        else:
-            ranks = cut(ranks, "ranks")
-    return ranks
+        return state.select("node", F.lit(0.0).alias("rank")).limit(0)
+    hubs = state.filter("parts > 1").select(F.col("node").alias("src"), "parts")
+    spread = counted.join(hubs, "src", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"), F.lit(0)))
+    links = cut_by(spread.select("src", "part", "dst", "times"), ("src", "part"), "links")
+    state = state.withColumn("rank", F.lit(1.0 / n))
+    for _ in range(rounds):
+        gives = state.select(F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), (F.col("rank") / F.col("degree")).alias("gift"))
+        given = links.join(gives, ["src", "part"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("gift") * F.col("times")).alias("given"))
+        rank = alpha * F.col("seed") + (1 - alpha) * F.coalesce("given", F.lit(0.0))
+        watch = Observation()
+        moved = state.join(given, "node", "left").withColumn("new", rank).observe(watch, F.max(F.abs(F.col("new") - F.col("rank"))).alias("change"))
+        state = cut(moved.select("node", "degree", "parts", "seed", F.col("new").alias("rank")), "ranks")
+        if watch.get["change"] < epsilon:
+            break
+    return state.select("node", "rank")
 
 
 def subgraph(edges: DataFrame, seeds: Seeds, hops: int, types: Sequence[str] = (), at: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, hops) within reach, and the allowed edges between them, once per relation."""
     nodes = neighbours(edges, seeds, hops, types, at)
-    held = allowed(edges, types, at).dropDuplicates(["id"])
+    held = allowed(edges, types, at)
     for end in ("source_id", "target_id"):
         held = held.join(nodes.select(F.col("node").alias(end)), end, "left_semi")
-    return nodes, held.select(*edges.columns)
+    return nodes, held.dropDuplicates(["id"]).select(*edges.columns)
 
 
 def hydrate(nodes: DataFrame, entities: DataFrame) -> DataFrame:

@@ -55,24 +55,30 @@ def dedup_removed(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def upsert_relations(relations: DataFrame, new: DataFrame) -> DataFrame:
-    """Adds relations; one that a valid relation already says strengthens that one instead. One shuffle by group."""
-    old = relations.filter("invalid_at is null").withColumn("fresh", F.lit(0))
-    both = old.unionByName(new.withColumn("fresh", F.lit(1)), allowMissingColumns=True)
-    order = F.struct("fresh", (-F.col("weight")).alias("w"), F.col("created_at").alias("c"), F.col("id").alias("i"))
-    ranked = both.withColumn("n", F.row_number().over(Window.partitionBy(*_GROUP).orderBy(order)))
-    # Old relations stay each; the new ones of a group go into its first row.
-    head = Window.partitionBy(*_GROUP)
-    joined = ranked.withColumns(
+    """Adds relations; one that a valid relation already says strengthens that one instead.
+
+    What is new is summed up by group; a group finds its heaviest valid relation by a semi-join, and that row alone is
+    changed, by a join on its id. Neither join shuffles the relations while what is new is small.
+    """
+    order = F.struct((-F.col("weight")).alias("w"), F.col("created_at").alias("c"), F.col("id").alias("i"))
+    others = [c for c in relations.columns if c not in (*_GROUP, "weight", "summary") and c in new.columns]
+    weight = F.when(F.count("*") == 1, F.max(wt.clamp(F.col("weight")))).otherwise(wt.combine_all(F.col("weight")))
+    said = new.groupBy(*_GROUP).agg(*[F.min_by(F.col(c), order).alias(c) for c in others], weight.alias("weight"), longest_summary(order).alias("summary"))
+    held = relations.filter("invalid_at is null").join(said.select(*_GROUP), _GROUP, "left_semi")
+    heads = held.groupBy(*_GROUP).agg(F.min_by("id", order).alias("head"))
+    met = said.join(heads, _GROUP, "left")
+    stronger = met.filter("head is not null").select("kb_id", F.col("head").alias("id"), F.col("weight").alias("added"), F.col("summary").alias("more"))
+    joined = relations.join(stronger, ["kb_id", "id"], "left")
+    changed = F.col("added").isNotNull()
+    length = lambda c: F.octet_length(F.coalesce(c, F.lit("")))
+    joined = joined.withColumns(
         {
-            "added": 1 - F.product(F.when(F.col("fresh") == 1, 1 - wt.clamp(F.col("weight"))).otherwise(F.lit(1.0))).over(head),
-            "said": F.min_by("summary", F.struct((-F.when((F.col("fresh") == 1) | (F.col("n") == 1), F.octet_length(F.coalesce("summary", F.lit("")))).otherwise(F.lit(-1))).alias("k"), F.col("n").alias("o"))).over(head),
-            "has_new": F.max("fresh").over(head) == 1,
+            "weight": F.when(changed, wt.combine(F.col("weight"), F.col("added"))).otherwise(F.col("weight")),
+            "summary": F.when(changed & (length("more") > length("summary")), F.col("more")).otherwise(F.col("summary")),
         }
     )
-    weight = F.when(~F.col("has_new"), F.col("weight")).when(F.col("fresh") == 1, F.col("added")).otherwise(wt.combine(F.col("weight"), F.col("added")))
-    kept = joined.filter("n = 1 or fresh = 0").withColumn("first", F.col("n") == 1)
-    kept = kept.withColumns({"weight": F.when(F.col("first"), weight).otherwise(F.col("weight")), "summary": F.when(F.col("first") & F.col("has_new"), F.col("said")).otherwise(F.col("summary"))})
-    return relations.filter("invalid_at is not null").unionByName(kept.select(*relations.columns))
+    fresh = met.filter("head is null").drop("head")
+    return joined.select(*relations.columns).unionByName(fresh, allowMissingColumns=True).select(*relations.columns)
 
 
 def decay_batch(states: DataFrame, now: Column, half_life_hours: float = DEFAULT_HALF_LIFE_HOURS) -> DataFrame:

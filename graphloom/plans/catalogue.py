@@ -174,10 +174,10 @@ def access_state(g: KnowledgeGraph) -> DataFrame:
 # Weights and duplicates
 
 
-@query(f"WITH {RELATIONS} SELECT source_id, type, round(1 - product(1 - weight), 6) AS weight, count(*) AS n FROM relations WHERE type = 'buys_from' GROUP BY source_id, type")
+@query(f"WITH {RELATIONS} SELECT source_id, type, round(1 - product(1 - weight), 12) AS weight, count(*) AS n FROM relations WHERE type = 'buys_from' GROUP BY source_id, type")
 def combine_weights(g: KnowledgeGraph) -> DataFrame:
     rows = g.relations(("buys_from",))
-    return rows.groupBy("source_id", "type").agg(F.round(wt.combine_all(F.col("weight")), 6).alias("weight"), F.count("*").alias("n"))
+    return rows.groupBy("source_id", "type").agg(F.round(wt.combine_all(F.col("weight")), 12).alias("weight"), F.count("*").alias("n"))
 
 
 @query(f"WITH {RELATIONS} SELECT source_id, target_id, type, count(*) AS n FROM relations WHERE invalid_at IS NULL GROUP BY ALL HAVING count(*) > 1")
