@@ -168,6 +168,27 @@ def jaro_winkler(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(_jaro_winkler_batch, "double")(a, b)
 
 
+def letter_mask(text: Column) -> Column:
+    """The letters of a text as bits of a long: a letter sets the bit of its code modulo 64."""
+    letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (F.ascii(c) % 64).cast("int"))
+    return F.aggregate(letters, F.lit(0).cast("long"), lambda mask, c: mask.bitwiseOR(bit(c)))
+
+
+def may_be_similar(a: Column, b: Column, mask_a: Column, mask_b: Column, least: float) -> Column:
+    """False only where the Jaro-Winkler similarity of a and b is under least.
+
+    A letter whose bit the other text lacks matches nothing, so bits bound the matches; equal first letters bound the
+    bonus. All of it is integer arithmetic in the JVM.
+    """
+    long_a, long_b = F.length(a), F.length(b)
+    missing = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+    matches = F.least(long_a - missing(mask_a, mask_b), long_b - missing(mask_b, mask_a))
+    jaro = F.when(matches > 0, (matches / long_a + matches / long_b + 1) / 3).otherwise(0.0)
+    bonus = F.when(F.substring(a, 1, 1) == F.substring(b, 1, 1), 0.4).otherwise(0.0)
+    return (a == b) | (jaro + bonus * (1 - jaro) >= least - 1e-9)
+
+
 def extraction_prompt(text: str) -> str:
     """What a language model is asked for entities and relations; the text is fenced off."""
     schema = {"entities": [{"name": "...", "type": "person|project|concept|organization|tool|event|location", "summary": "..."}], "relations": [{"source": "entity name", "target": "entity name", "type": "verb phrase", "summary": "...", "weight": 0.8}]}

@@ -3,17 +3,18 @@
 A query's words are phrases of tokens that must all occur, each within one column. Scores use the statistics of all rows
 of the table, over all knowledge bases, unless asked for one base's own.
 
-Two forms: ``search`` scans a table once for the statistics and once for the matching rows, and shuffles nothing but
-partial sums and the best rows. ``build_index`` makes postings that can be stored by token, and ``search_index`` then reads
-only the postings of a query's tokens.
+Two forms: ``search`` cuts a table into tokens in one pass, which gives the statistics and the ids of the rows that match;
+the best of them are then fetched by id. ``build_index`` makes postings that can be stored by token, and ``search_index``
+then reads only the postings of a query's tokens.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
+from graphloom.sources.shared import cut
 
 #: Fixed values of the score.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -43,21 +44,28 @@ def search(table: DataFrame, columns: list[str], query: str, kb: str | None = No
     if not phrases:
         return table.withColumn("score", F.lit(0.0)).limit(0)
     scope = table.filter(F.col("kb_id") == kb) if stats_scope == "kb" and kb is not None else table
-    cut = scope.withColumns({f"_t{i}": tx.tokens(F.col(c)) for i, c in enumerate(columns)})
+    tokens = scope.select("id", "kb_id", *[tx.tokens(F.col(c)).alias(f"_t{i}") for i, c in enumerate(columns)])
     parts = [F.col(f"_t{i}") for i in range(len(columns))]
     sums = {f"_h{j}": sum((_hits(t, p) for t in parts[1:]), _hits(parts[0], p)) for j, p in enumerate(phrases)}
-    counted = cut.withColumns(sums | {"_len": sum((F.size(t) for t in parts[1:]), F.size(parts[0]))}).drop(*[f"_t{i}" for i in range(len(columns))])
-    totals = counted.agg(F.count("*").alias("n"), F.avg("_len").alias("mean"), *[F.sum((F.col(h) > 0).cast("long")).alias(h) for h in sums]).first()
-    if not totals["n"] or not totals["mean"]:
-        return table.withColumn("score", F.lit(0.0)).limit(0)
+    length = sum((F.size(t) for t in parts[1:]), F.size(parts[0]))
+    counted = tokens.select("id", "kb_id", *[c.alias(h) for h, c in sums.items()], length.alias("_len"))
+    watch = Observation()
+    counted = counted.observe(watch, F.count("*").alias("n"), F.avg("_len").alias("mean"), *[F.sum((F.col(h) > 0).cast("long")).alias(h) for h in sums])
     found = counted.filter(" and ".join(f"{h} > 0" for h in sums))
     if kb is not None:
         found = found.filter(F.col("kb_id") == kb)
+    found = cut(found, "hits")
+    totals = watch.get
+    if not totals["n"] or not totals["mean"]:
+        return table.withColumn("score", F.lit(0.0)).limit(0)
     score = F.lit(0.0)
     for h in sums:
         score = score + term_score(F.col(h), F.col("_len"), F.lit(totals["mean"]), idf(F.lit(float(totals["n"])), F.lit(float(totals[h]))))
-    found = found.withColumn("score", F.round(score, 9)).drop(*sums, "_len")
-    return found if limit is None else found.orderBy(F.col("score").desc(), "id").limit(limit)
+    best = found.select("id", "kb_id", F.round(score, 9).alias("score"))
+    if limit is not None:
+        best = best.orderBy(F.col("score").desc(), "id").limit(limit)
+    rows = table.join(best, ["kb_id", "id"]).select(*table.columns, "score")
+    return rows if limit is None else rows.orderBy(F.col("score").desc(), "id")
 
 
 def search_all(entities: DataFrame, relations: DataFrame, episodes: DataFrame, query: str, kb: str, limit: int = 20, stats_scope: str = "global") -> DataFrame:
@@ -81,12 +89,12 @@ def search_feedback(feedback: DataFrame, query: str, kb: str, limit: int = 50) -
 
 def build_index(table: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Postings (token, id, kb_id, places), where places are structs of column and position, and lengths (id, kb_id, length)."""
-    cut = table.select("id", "kb_id", *[tx.tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)])
+    tokens = table.select("id", "kb_id", *[tx.tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)])
     placed = lambda i: F.transform(F.col(f"t{i}"), lambda t, at: F.struct(t.alias("token"), F.lit(i).alias("part"), at.alias("at")))
     marked = F.concat(*[placed(i) for i in range(len(columns))])
-    places = cut.select("id", "kb_id", F.explode(marked).alias("p")).select("id", "kb_id", "p.*")
+    places = tokens.select("id", "kb_id", F.explode(marked).alias("p")).select("id", "kb_id", "p.*")
     postings = places.groupBy("token", "id", "kb_id").agg(F.array_sort(F.collect_list(F.struct("part", "at"))).alias("places"))
-    lengths = cut.select("id", "kb_id", sum((F.size(f"t{i}") for i in range(1, len(columns))), F.size("t0")).alias("length"))
+    lengths = tokens.select("id", "kb_id", sum((F.size(f"t{i}") for i in range(1, len(columns))), F.size("t0")).alias("length"))
     return postings, lengths
 
 

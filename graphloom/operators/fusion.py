@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import weights as wt
 from graphloom.operators import bm25, graph, knn
 from graphloom.schema import SearchOptions
+from graphloom.sources.shared import cut
 
 #: Fixed value of the fusion.
 RRF_K = 60
@@ -35,11 +36,13 @@ def apply_decay(results: DataFrame, states: DataFrame, now: Column, half_life_ho
         return results
     held = states.select("kb_id", F.col("entity_type").alias("type"), F.col("entity_id").alias("id"), "strength", "access_count", "last_access")
     factor = wt.decay_multiplier(F.col("strength"), F.col("access_count"), wt.hours_between(now, F.col("last_access")), half_life_hours)
+    # Results are as many as twice a search's limit.
     return held.join(F.broadcast(results), ["kb_id", "type", "id"], "right").withColumn("score", F.round(F.col("score") * factor, 9)).select(*results.columns)
 
 
 def hydrate_hits(hits: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Hits (id, kb_id, score) as results: an entity's if there is one of that id, else a relation's; others drop out."""
+    # A search's hits: as many as its limit, which options bound.
     hits = F.broadcast(hits.select("id", "kb_id", "score"))
     named = entities.select("kb_id", "id", F.lit("entity").alias("type"), F.concat(F.col("name"), F.lit(": "), F.coalesce("summary", F.lit(""))).alias("content"))
     typed = relations.select("kb_id", "id", F.lit("relation").alias("type"), F.concat(F.col("type"), F.lit(": "), F.coalesce("summary", F.lit(""))).alias("content"))
@@ -58,15 +61,15 @@ def vector_channel(entities: DataFrame, relations: DataFrame, kb: str, query: Se
 
 
 def seeds_of(channels: Sequence[DataFrame], relations: DataFrame | None = None) -> list[str]:
-    """Entity ids among results, in rank order; with relations, also the ends of relation hits. At most the channels' rows."""
+    """Entity ids among results, in rank order; with relations, also the ends of relation hits, which one scan finds. At most the channels' rows."""
+    hits = [(r["type"], r["id"]) for c in channels for r in c.orderBy("rank").select("id", "type").collect()]
+    ends: dict[str, tuple[str, str]] = {}
+    named = sorted({i for kind, i in hits if kind == "relation"})
+    if relations is not None and named:
+        ends = {r["id"]: (r["source_id"], r["target_id"]) for r in relations.filter(F.col("id").isin(named)).select("id", "source_id", "target_id").collect()}
     found: dict[str, None] = {}
-    for c in channels:
-        for r in c.orderBy("rank").select("id", "type").collect():
-            if r["type"] == "entity":
-                found[r["id"]] = None
-            elif r["type"] == "relation" and relations is not None:
-                ends = relations.filter(F.col("id") == r["id"]).select("source_id", "target_id").first()
-                found |= dict.fromkeys(ends or ())
+    for kind, i in hits:
+        found |= dict.fromkeys([i] if kind == "entity" else ends.get(i, ()) if kind == "relation" else ())
     return list(found)
 
 
@@ -85,8 +88,8 @@ def hybrid_search(
 ) -> DataFrame:
     """(id, kb_id, type, content, score), best first: keyword, vector and graph channels fused, then decayed.
 
-    Channels are as long as three times the result; their rows are cached because seeds and fusion both read them. The
-    graph starts from the entities that the other channels found. A vector mode without a query vector is an error.
+    Channels are as long as three times the result; their rows go to the shared folder because seeds and fusion both read
+    them. The graph starts from the entities that the other channels found. A vector mode without a query vector is an error.
     ``edges``: relations valid now, if they are at hand.
     """
     options = (options or SearchOptions()).normalized()
@@ -94,9 +97,9 @@ def hybrid_search(
         raise ValueError("a vector search needs a query vector")
     channels = []
     if options.bm25:
-        channels.append(ranked(bm25.search_all(entities, relations, episodes, query, kb, options.fetch)).persist())
+        channels.append(cut(ranked(bm25.search_all(entities, relations, episodes, query, kb, options.fetch)), "channel"))
     if options.vector and query_vector is not None:
-        channels.append(ranked(vector_channel(entities, relations, kb, query_vector, options.fetch)).persist())
+        channels.append(cut(ranked(vector_channel(entities, relations, kb, query_vector, options.fetch)), "channel"))
     if options.graph and channels:
         seeds = seeds_of(channels, relations if options.relation_seeds else None)
         if options.expand_communities and communities is not None:

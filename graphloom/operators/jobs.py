@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as tx
 from graphloom.operators import scans
+from graphloom.sources.shared import cut
 
 MAX_ATTEMPTS, STALE_MINUTES, ERROR_BYTES = 3, 5, 2048
 
@@ -23,10 +27,11 @@ def dequeue(jobs: DataFrame, n: int) -> DataFrame:
     return jobs.filter("status = 'queued'").orderBy("created_at", "id").limit(n)
 
 
-def claim(jobs: DataFrame, n: int, now: Column) -> tuple[DataFrame, DataFrame]:
-    """The jobs after the oldest n are claimed, and those n."""
-    taken = dequeue(jobs, n).select("id", F.lit(True).alias("taken"))
-    after = jobs.join(F.broadcast(taken), "id", "left")
+def claim(jobs: DataFrame, n: int, now: Column, ids: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The jobs after the oldest n are claimed, and those n; with ids, only jobs of these are."""
+    open_jobs = jobs if ids is None else jobs.filter(F.col("id").isin(list(ids)))
+    taken = cut(dequeue(open_jobs, n).select("id", F.lit(True).alias("taken")), "taken")
+    after = jobs.join(taken, "id", "left")
     t = F.col("taken").isNotNull()
     after = after.withColumns({"status": F.when(t, "running").otherwise(F.col("status")), "attempts": F.when(t, F.col("attempts") + 1).otherwise(F.col("attempts")), "started_at": F.when(t, now).otherwise(F.col("started_at"))})
     return after.select(*jobs.columns), after.filter(t).select(*jobs.columns)
@@ -47,7 +52,7 @@ def set_status(jobs: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
         "completed_at": F.when(ended, now).when(to == "queued", F.lit(None)).otherwise(F.col("completed_at")),
         "episode_id": F.when(ended, F.coalesce("new_episode_id", "episode_id")).otherwise(F.col("episode_id")),
         "result": F.when(to == "completed", F.col("new_result")).otherwise(F.col("result")),
-        "error": F.when(to == "failed", F.substring("new_error", 1, ERROR_BYTES)).otherwise(F.col("error")),
+        "error": F.when(to == "failed", tx.shorten(F.col("new_error"), ERROR_BYTES, "... (truncated)")).otherwise(F.col("error")),
     }
     return j.withColumns(values).select(*jobs.columns)
 
@@ -68,6 +73,25 @@ def retry(jobs: DataFrame, ids: list[str]) -> DataFrame:
     return jobs.withColumns({c: F.when(again, v).otherwise(F.col(c)) for c, v in (("status", F.lit("queued")), ("started_at", F.lit(None)), ("completed_at", F.lit(None)))})
 
 
+def episode_id() -> Column:
+    """The id of a running job's episode: each attempt has its own."""
+    return F.concat(F.lit("j:"), F.col("id"), F.when(F.col("attempts") > 1, F.concat(F.lit(":"), F.col("attempts").cast("string"))).otherwise(F.lit("")))
+
+
+def outcomes(mine: DataFrame, by_text: DataFrame) -> DataFrame:
+    """Changes for set_status() of running jobs by what their texts came to (kb_id, text_id, error and counts): completed with the counts as JSON, or failed with the error."""
+    counts = ("entities_created", "entities_updated", "relations_created", "relations_strengthened")
+    met = mine.select("id", episode_id().alias("text_id")).join(by_text, "text_id")
+    result = F.to_json(F.struct(F.col("text_id").alias("episode_id"), *counts))
+    failed = F.col("error").isNotNull()
+    return met.select("id", F.when(failed, "failed").otherwise("completed").alias("new_status"), F.col("text_id").alias("new_episode_id"), F.when(~failed, result).alias("new_result"), F.col("error").alias("new_error"))
+
+
+def events(ended: DataFrame) -> DataFrame:
+    """(type, job): what is told of jobs that have ended."""
+    return ended.filter(F.col("status").isin("completed", "failed")).select(F.concat(F.lit("job."), "status").alias("type"), F.struct(*[c for c in ended.columns if c != "content"]).alias("job"))
+
+
 def every_nth(calls: DataFrame, n: int, order: str = "call") -> DataFrame:
     """The calls of a hook that are looked at; calls are numbered from 1."""
     return calls if n <= 1 else calls.filter(F.col(order) % n == 0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import weights as wt
 from graphloom.operators import knn, writes
 from graphloom.schema import DEFAULT_CONSOLIDATE_THRESHOLD, DEFAULT_HALF_LIFE_HOURS, DEFAULT_PRUNE_THRESHOLD
+from graphloom.sources.shared import cut
 
 _GROUP = ["kb_id", "source_id", "target_id", "type"]
 
@@ -141,30 +142,48 @@ def redirect(relations: DataFrame, moves: DataFrame, keep_history: bool = False)
     return relations
 
 
-def consolidate(entities: DataFrame, relations: DataFrame, states: DataFrame, kb: str, threshold: float = DEFAULT_CONSOLIDATE_THRESHOLD, most_pairs: int = 100) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def greedy_moves(pairs: DataFrame) -> DataFrame:
+    """(merged, survivor): what comes of merging pairs (a, b, survivor, merged) one by one in order of (a, b), where a pair of which one is gone already is skipped.
+
+    A pair that comes first at both its ends is not touched by any before it, so all such pairs are taken in one round;
+    the pairs of those that went drop out, and the next round takes those that are first then. Survivors that went later
+    are followed to the last one by doubling. Every step is a join; nothing is gathered on the driver.
+    """
+    left = cut(pairs.select("a", "b", "survivor", "merged").distinct(), "pairs")
+    moves = None
+    while not left.isEmpty():
+        ends = left.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.struct("a", "b").alias("pair")), F.struct(F.col("b").alias("node"), F.struct("a", "b").alias("pair")))))
+        first = ends.groupBy("node").agg(F.min("pair").alias("pair"))
+        # Both its ends have it as their first.
+        free = first.groupBy("pair").agg(F.count("*").alias("n")).filter("n = 2").select("pair.a", "pair.b")
+        taken = cut(left.join(free, ["a", "b"], "left_semi"), "taken")
+        part = taken.select("merged", "survivor")
+        moves = part if moves is None else moves.unionByName(part)
+        left = left.join(taken, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            left = left.join(taken.select(F.col("merged").alias(end)), end, "left_anti")
+        left = cut(left.select("a", "b", "survivor", "merged"), "pairs")
+    if moves is None:
+        return pairs.select("merged", "survivor").limit(0)
+    moves = cut(moves, "moves")
+    while True:
+        further = moves.select(F.col("merged").alias("survivor"), F.col("survivor").alias("next"))
+        if moves.join(further, "survivor", "left_semi").isEmpty():
+            return moves
+        moves = cut(moves.join(further, "survivor", "left").select("merged", F.coalesce("next", "survivor").alias("survivor")), "moves")
+
+
+def consolidate(entities: DataFrame, relations: DataFrame, states: DataFrame, kb: str, threshold: float = DEFAULT_CONSOLIDATE_THRESHOLD, most_pairs: int | None = 100) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Merges entities with similar embeddings; returns entities, relations, states and moves (kb_id, merged, survivor).
 
-    Pairs are taken in order of ids, at most ``most_pairs``; a pair of which one is gone already is skipped, so the map of
-    moves is made pair by pair on the driver, over that bounded list, and applied to the tables by joins.
+    Pairs are taken in order of ids, the first ``most_pairs`` of them or all for none; a pair of which one is gone already
+    is skipped (see greedy_moves). The moves are applied to the tables by joins.
     """
-    spark = entities.sparkSession
     own = entities.filter((F.col("kb_id") == kb) & F.col("embedding").isNotNull())
-    pairs = knn.similar_pairs(own, threshold, most_pairs)
-    chosen = survivors(pairs, own, relations.filter(F.col("kb_id") == kb)).orderBy("a", "b").collect()
-    gone: dict[str, str] = {}
-    for r in chosen:
-        if r["a"] not in gone and r["b"] not in gone:
-            gone[r["merged"]] = r["survivor"]
-
-    def final(x: str) -> str:
-        while x in gone:
-            x = gone[x]
-        return x
-
-    moves = spark.createDataFrame([(kb, m, final(s)) for m, s in gone.items()], "kb_id string, merged string, survivor string")
-    moved = redirect(relations, F.broadcast(moves))
-    kept = dedup_relations(moved, kb) if gone else moved
-    gone_rows = moves.select("kb_id", F.col("merged").alias("id"))
-    entities, kept = writes.delete_entities(entities, kept, gone_rows)
+    pairs = cut(knn.similar_pairs(own, threshold, most_pairs), "similar")
+    chosen = survivors(pairs, own, relations.filter(F.col("kb_id") == kb))
+    moves = greedy_moves(chosen).select(F.lit(kb).alias("kb_id"), "merged", "survivor")
+    kept = dedup_relations(redirect(relations, moves), kb) if not moves.isEmpty() else relations
+    entities, kept = writes.delete_entities(entities, kept, moves.select("kb_id", F.col("merged").alias("id")))
     states = writes.delete_states(states, moves.select("kb_id", F.lit("entity").alias("entity_type"), F.col("merged").alias("entity_id")))
     return entities, kept, states, moves

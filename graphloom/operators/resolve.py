@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as tx
 from graphloom.functions import weights as wt
 from graphloom.functions.text import jaro_winkler_similarity
+from graphloom.sources.shared import cut
 
 #: Fixed values of the tiers.
 FUZZY, ASK = 0.85, 0.6
+#: Bytes of new names that are sent to a scan of the entities.
+SENT = 16 << 20
 
 
 def exact_matches(new: DataFrame, entities: DataFrame) -> DataFrame:
@@ -23,35 +26,43 @@ def exact_matches(new: DataFrame, entities: DataFrame) -> DataFrame:
     return a.join(b, ["kb_id", "key"]).filter(tx.types_match(F.col("new_type"), F.col("old_type"))).groupBy("new_id").agg(F.min("entity_id").alias("entity_id"))
 
 
-def best_similar(new: DataFrame, entities: DataFrame) -> DataFrame:
-    """(new_id, entity_id, similarity, types_agree): the one most similar name in the knowledge base, ties to the first id.
+def best_similar(new: DataFrame, entities: DataFrame, least: float = 0.0) -> DataFrame:
+    """(new_id, entity_id, similarity, types_agree): the one most similar name in the knowledge base, ties to the first id; none under ``least``.
 
-    An exact answer needs every name; new names are the few of an ingest, so they are what is sent to the entities, and
-    only the best per task is shuffled.
+    An exact answer needs every name. New names are the few of an ingest: they are sent to the entities, ``SENT`` at a time
+    in as many scans as that takes, a bound in the JVM rules out most pairs, and only the best per task is shuffled.
     """
-    a = new.select("kb_id", F.col("id").alias("new_id"), tx.normalize_name(F.col("name")).alias("new_name"), F.col("type").alias("new_type"))
-    b = entities.select("kb_id", F.col("id").alias("entity_id"), tx.normalize_name(F.col("name")).alias("old_name"), F.col("type").alias("old_type"))
-    pairs = b.join(F.broadcast(a), "kb_id").withColumn("similarity", F.round(tx.jaro_winkler("new_name", "old_name"), 9))
+    named = lambda t, i, n, k, m, y: t.select("kb_id", F.col("id").alias(i), tx.normalize_name(F.col("name")).alias(n), F.col("type").alias(y)).withColumn(m, tx.letter_mask(F.col(n)))
+    a = cut(named(new, "new_id", "new_name", "new_type", "new_mask", "new_type"), "new")
+    b = named(entities, "entity_id", "old_name", "old_type", "old_mask", "old_type")
+    count, size = a.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("new_name") + F.octet_length(F.coalesce("new_type", F.lit(""))) + 128), F.lit(0))).first()
+    scans = max(1, -(-max(count * 128, size) // SENT))
     agree = tx.types_match(F.col("new_type"), F.col("old_type"))
-    best = pairs.groupBy("new_id").agg(F.min_by(F.struct("entity_id", "similarity", agree.alias("types_agree")), F.struct((-F.col("similarity")).alias("s"), "entity_id")).alias("m"))
-    return best.select("new_id", "m.*")
+    found = None
+    for k in range(scans):
+        part = a if scans == 1 else a.filter(F.pmod(F.xxhash64("new_id"), F.lit(scans)) == k)
+        pairs = b.join(F.broadcast(part), "kb_id").filter(tx.may_be_similar(F.col("new_name"), F.col("old_name"), F.col("new_mask"), F.col("old_mask"), least))
+        scored = pairs.withColumn("similarity", F.round(tx.jaro_winkler("new_name", "old_name"), 9)).filter(F.col("similarity") >= least)
+        best = scored.groupBy("new_id").agg(F.min_by(F.struct("entity_id", "similarity", agree.alias("types_agree")), F.struct((-F.col("similarity")).alias("s"), "entity_id")).alias("m"))
+        found = best if found is None else found.unionByName(best)
+    return found.select("new_id", "m.*")
 
 
 def fuzzy_matches(new: DataFrame, entities: DataFrame, least: float = FUZZY) -> DataFrame:
     """(new_id, entity_id, similarity): the best one, if similar enough and its type agrees; no runner-up takes its place."""
-    return best_similar(new, entities).filter((F.col("similarity") >= least) & F.col("types_agree")).drop("types_agree")
+    return best_similar(new, entities, least).filter(F.col("types_agree")).drop("types_agree")
 
 
-def resolve(new: DataFrame, entities: DataFrame, ask: Callable[[dict, dict], bool] | None = None) -> DataFrame:
-    """(new_id, entity_id, tier); entity_id is null for those without a match. ask: a model's answer for a pair in doubt."""
+def resolve(new: DataFrame, entities: DataFrame, ask: Callable[[dict, dict], bool] | None = None, may_ask: Column | None = None) -> DataFrame:
+    """(new_id, entity_id, tier); entity_id is null for those without a match. ask: a model's answer for a pair in doubt; it is asked about all new rows, or those for which may_ask holds."""
     exact = exact_matches(new, entities)
     left = new.join(exact, new.id == exact.new_id, "left_anti")
-    similar = best_similar(left, entities)
+    similar = best_similar(left, entities, FUZZY if ask is None else ASK)
     close = (F.col("similarity") >= FUZZY) & F.col("types_agree")
     fuzzy = similar.filter(close).select("new_id", "entity_id")
     found = exact.withColumn("tier", F.lit("exact")).unionByName(fuzzy.withColumn("tier", F.lit("fuzzy")))
     if ask is not None:
-        doubt = similar.filter(~close & (F.col("similarity") >= ASK)).join(new.select(F.col("id").alias("new_id"), F.struct("name", "type", "summary").alias("a")), "new_id").join(entities.select(F.col("id").alias("entity_id"), F.struct("name", "type", "summary").alias("b")), "entity_id")
+        doubt = similar.filter(~close & (F.col("similarity") >= ASK)).join((new if may_ask is None else new.filter(may_ask)).select(F.col("id").alias("new_id"), F.struct("name", "type", "summary").alias("a")), "new_id").join(entities.select(F.col("id").alias("entity_id"), F.struct("name", "type", "summary").alias("b")), "entity_id")
 
         @F.pandas_udf("boolean")
         def same(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
@@ -71,21 +82,33 @@ def resolve_in_batch(mentions: DataFrame) -> DataFrame:
     """Adds entity_key to mentions (kb_id, text_id, position, name, type, summary): mentions of one text are matched in their order, each with those before it. A text's mentions are few; texts are independent."""
 
     def one_text(rows: pd.DataFrame) -> pd.DataFrame:
-        seen: list[tuple[str, str, str]] = []
+        seen: list[tuple[str, str, str, frozenset]] = []
+        by_name: dict[str, list[int]] = {}
         keys = []
-        for r in rows.sort_values("position").itertuples():
+        rows = rows.sort_values("position")
+        for r in rows.itertuples():
             name, kind = " ".join((r.name or "").lower().split()), " ".join((r.type or "").lower().split())
-            agree = [not kind or not k or k == kind for _, k, _ in seen]
-            match = next((key for (n, _, key), ok in zip(seen, agree, strict=True) if n == name and ok), None)
-            if match is None and seen:
-                scores = [jaro_winkler_similarity(name, n) for n, _, _ in seen]
-                best = scores.index(max(scores))
-                match = seen[best][2] if scores[best] >= FUZZY and agree[best] else None
+            agrees = lambda k: not kind or not k or k == kind
+            match = next((seen[i][2] for i in by_name.get(name, ()) if agrees(seen[i][1])), None)
             if match is None:
-                match = name + "|" + kind
-                seen.append((name, kind, match))
+                letters = frozenset(name)
+                best, at = 0.0, -1
+                for i, (other, _, _, theirs) in enumerate(seen):
+                    # Letters that the other name lacks match nothing: most names are ruled out so.
+                    m = min(len(name) - len(letters - theirs), len(other) - len(theirs - letters))
+                    jaro = (m / len(name) + m / len(other) + 1) / 3 if m > 0 else 0.0
+                    if name == other or jaro + 0.4 * (1 - jaro) >= max(FUZZY, best):
+                        score = jaro_winkler_similarity(name, other)
+                        if score > best:
+                            best, at = score, i
+                if best >= FUZZY and agrees(seen[at][1]):
+                    match = seen[at][2]
+                else:
+                    match = name + "|" + kind
+                    by_name.setdefault(name, []).append(len(seen))
+                    seen.append((name, kind, match, letters))
             keys.append(match)
-        return rows.sort_values("position").assign(entity_key=keys)
+        return rows.assign(entity_key=keys)
 
     fields = ", ".join(f"`{n}` {t}" for n, t in mentions.dtypes)
     return mentions.groupBy("kb_id", "text_id").applyInPandas(one_text, f"{fields}, entity_key string")

@@ -51,7 +51,9 @@ def find_by_name(entities: DataFrame, kb: str, name: str, fuzzy: bool = False, l
     """Names equal but for case; or, if fuzzy, similar ones."""
     rows = in_kb(entities, kb)
     if fuzzy:
-        return rows.filter(tx.jaro_winkler(tx.normalize_name(F.col("name")), tx.normalize_name(F.lit(name))) >= least)
+        known, wanted = tx.normalize_name(F.col("name")), tx.normalize_name(F.lit(name))
+        near = rows.filter(tx.may_be_similar(known, wanted, tx.letter_mask(known), tx.letter_mask(wanted), least))
+        return near.filter(tx.jaro_winkler(known, wanted) >= least)
     return rows.filter(F.lower("name") == F.lower(F.lit(name)))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as tx
 from graphloom.functions import vectors as vx
 from graphloom.functions import weights as wt
-from graphloom.operators import bm25, extract, fusion, graph, jobs, knn, lifecycle, resolve, scans, writes
+from graphloom.operators import bm25, fusion, graph, jobs, knn, lifecycle, resolve, scans, writes
 from graphloom.schema import SearchOptions
 from graphloom.sources.kg import EPOCH, KB, NOW, KnowledgeGraph
 
@@ -174,10 +174,9 @@ def access_state(g: KnowledgeGraph) -> DataFrame:
 # Weights and duplicates
 
 
-@query(f"WITH {RELATIONS} SELECT source_id, type, round(1 - product(1 - weight), 12) AS weight, count(*) AS n FROM relations WHERE type = 'buys_from' GROUP BY source_id, type")
+@query(f"WITH {RELATIONS} SELECT source_id, type, round(1 - product(1 - weight), 12) AS weight, count(*) AS n FROM relations GROUP BY source_id, type")
 def combine_weights(g: KnowledgeGraph) -> DataFrame:
-    rows = g.relations(("buys_from",))
-    return rows.groupBy("source_id", "type").agg(F.round(wt.combine_all(F.col("weight")), 12).alias("weight"), F.count("*").alias("n"))
+    return g.relations().groupBy("source_id", "type").agg(F.round(wt.combine_all(F.col("weight")), 12).alias("weight"), F.count("*").alias("n"))
 
 
 @query(f"WITH {RELATIONS} SELECT source_id, target_id, type, count(*) AS n FROM relations WHERE invalid_at IS NULL GROUP BY ALL HAVING count(*) > 1")
@@ -186,22 +185,23 @@ def dup_groups(g: KnowledgeGraph) -> DataFrame:
 
 
 _DEDUP = f"""WITH {RELATIONS}, v AS (SELECT * FROM relations WHERE invalid_at IS NULL AND source_id <> target_id),
-m AS (SELECT source_id, target_id, type, arg_min(id, (-weight, epoch_us(created_at), id)) AS id, CASE WHEN count(*) = 1 THEN max(weight) ELSE 1 - product(1 - weight) END AS weight, min(valid_at) AS valid_at, count(*) AS n FROM v GROUP BY ALL)"""
+m AS (SELECT source_id, target_id, type, arg_min(id, (-weight, epoch_us(created_at), id)) AS id, arg_min(summary, (-strlen(summary), -weight, epoch_us(created_at), id)) AS summary, CASE WHEN count(*) = 1 THEN max(weight) ELSE 1 - product(1 - weight) END AS weight, min(valid_at) AS valid_at, count(*) AS n FROM v GROUP BY ALL)"""
 
 
-@query(f"{_DEDUP} SELECT id, source_id, target_id, type, round(weight, 6) AS weight, valid_at FROM m UNION ALL SELECT id, source_id, target_id, type, round(weight, 6), valid_at FROM relations WHERE invalid_at IS NOT NULL")
+@query(f"{_DEDUP} SELECT id, source_id, target_id, type, summary, round(weight, 12) AS weight, valid_at FROM m UNION ALL SELECT id, source_id, target_id, type, summary, round(weight, 12), valid_at FROM relations WHERE invalid_at IS NOT NULL")
 def dedup_relations(g: KnowledgeGraph) -> DataFrame:
-    return lifecycle.dedup_relations(g.relations()).select("id", "source_id", "target_id", "type", F.round("weight", 6).alias("weight"), F.col("valid_at").cast("timestamp_ntz").alias("valid_at"))
+    return lifecycle.dedup_relations(g.relations()).select("id", "source_id", "target_id", "type", "summary", F.round("weight", 12).alias("weight"), F.col("valid_at").cast("timestamp_ntz").alias("valid_at"))
 
 
-@query(f"""WITH {RELATIONS}, o AS (SELECT * FROM relations WHERE type = 'buys_from' AND invalid_at IS NULL AND summary = 'A'), n AS (SELECT source_id, target_id, 1 - product(1 - weight) AS added FROM relations WHERE type = 'buys_from' AND summary = 'N' AND invalid_at IS NULL GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY weight DESC, created_at, id) AS k FROM o)
-SELECT source_id, target_id, round(CASE WHEN added IS NULL OR k > 1 THEN weight ELSE 1 - (1 - weight) * (1 - added) END, 6) AS weight FROM r LEFT JOIN n USING (source_id, target_id)
-UNION ALL SELECT source_id, target_id, round(added, 6) FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source_id = n.source_id AND o.target_id = n.target_id)""")
+@query(f"""WITH {RELATIONS}, o AS (SELECT * FROM relations WHERE invalid_at IS NULL AND summary <> 'N'), n AS (SELECT source_id, target_id, type, CASE WHEN count(*) = 1 THEN max(weight) ELSE 1 - product(1 - weight) END AS added FROM relations WHERE summary = 'N' AND invalid_at IS NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, type ORDER BY weight DESC, created_at, id) AS k FROM o)
+SELECT source_id, target_id, type, summary, round(CASE WHEN added IS NULL OR k > 1 THEN weight ELSE 1 - (1 - weight) * (1 - added) END, 12) AS weight FROM (SELECT r.*, added FROM r LEFT JOIN n USING (source_id, target_id, type))
+UNION ALL SELECT source_id, target_id, type, 'N', round(added, 12) FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source_id = n.source_id AND o.target_id = n.target_id AND o.type = n.type)""")
 def upsert_strengthen(g: KnowledgeGraph) -> DataFrame:
-    rows = g.relations(("buys_from",)).filter("invalid_at is null")
-    after = lifecycle.upsert_relations(rows.filter("summary = 'A'"), rows.filter("summary = 'N'"))
-    return after.select("source_id", "target_id", F.round("weight", 6).alias("weight"))
+    """Of all valid relations those with mark N come to the others."""
+    rows = g.relations().filter("invalid_at is null")
+    after = lifecycle.upsert_relations(rows.filter("summary <> 'N'"), rows.filter("summary = 'N'"))
+    return after.select("source_id", "target_id", "type", "summary", F.round("weight", 12).alias("weight"))
 
 
 # Graph
@@ -224,7 +224,7 @@ def bfs_neighbors(g: KnowledgeGraph) -> DataFrame:
 
 @query(_bfs_sql("type IN ('in', 'located_in')", 3))
 def bfs_edge_types(g: KnowledgeGraph) -> DataFrame:
-    return graph.neighbours(g.relations(TYPES), SEEDS, 3, TYPES)
+    return graph.neighbours(g.relations(), SEEDS, 3, TYPES)
 
 
 @query(_bfs_sql(VALID))
@@ -232,14 +232,14 @@ def bfs_asof(g: KnowledgeGraph) -> DataFrame:
     return graph.neighbours(g.relations(), SEEDS, 2, at=as_of())
 
 
-@query(f"""WITH {RELATIONS}, e AS (SELECT source_id, target_id, weight FROM relations WHERE type = 'buys_from' AND weight >= 0.1),
+@query(f"""WITH {RELATIONS}, e AS (SELECT source_id, target_id, weight FROM relations WHERE weight >= 0.1),
 b AS (SELECT source_id AS src, target_id AS dst, weight FROM e UNION ALL SELECT target_id, source_id, weight FROM e),
 l0 AS (SELECT node, 1.0::DOUBLE AS w FROM (VALUES {SEED_ROWS}) AS t(node)),
 l1 AS (SELECT dst AS node, max(w * weight) AS w FROM b JOIN l0 ON src = node GROUP BY dst),
 l2 AS (SELECT dst AS node, max(w * weight) AS w FROM b JOIN l1 ON src = node GROUP BY dst)
 SELECT node, round(max(w), 6) AS weight FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY node""")
 def weighted_paths(g: KnowledgeGraph) -> DataFrame:
-    return graph.weighted(g.relations(("buys_from",)), SEEDS, 2, 0.1).select("node", F.round("weight", 6).alias("weight"))
+    return graph.weighted(g.relations(), SEEDS, 2, 0.1).select("node", F.round("weight", 6).alias("weight"))
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -247,7 +247,7 @@ def _pagerank_sql(rounds: int) -> str:
         f", r{k} AS MATERIALIZED (SELECT n.node, 0.15 * n.seed + 0.85 * coalesce(g.given, 0) AS rank FROM nodes n LEFT JOIN (SELECT dst AS node, sum(rank * share) AS given FROM links JOIN r{k - 1} ON src = node GROUP BY dst) g USING (node))"
         for k in range(1, rounds + 1)
     )
-    return f"""WITH {RELATIONS}, b AS (SELECT source_id AS src, target_id AS dst FROM relations WHERE type IN ('in', 'located_in', 'buys_from') UNION ALL SELECT target_id, source_id FROM relations WHERE type IN ('in', 'located_in', 'buys_from')),
+    return f"""WITH {RELATIONS}, b AS (SELECT source_id AS src, target_id AS dst FROM relations UNION ALL SELECT target_id, source_id FROM relations),
 links AS MATERIALIZED (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS share FROM b GROUP BY src, dst),
 nodes AS MATERIALIZED (SELECT DISTINCT src AS node, CASE WHEN src IN ('c:1', 's:7') THEN 0.5 ELSE 0 END AS seed FROM links),
 r0 AS (SELECT node, 1.0 / (SELECT count(*) FROM nodes) AS rank FROM nodes){steps}
@@ -256,18 +256,22 @@ SELECT node, round(rank, 9) AS rank FROM r{rounds}"""
 
 @query(_pagerank_sql(20))
 def pagerank(g: KnowledgeGraph) -> DataFrame:
-    return graph.pagerank(g.relations(("in", "located_in", "buys_from")), SEEDS, epsilon=0).select("node", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(g.relations(), SEEDS, epsilon=0).select("node", F.round("rank", 9).alias("rank"))
 
 
 @query(f"""WITH n AS ({_bfs_sql("type IN ('in', 'located_in')")}), {RELATIONS}
 SELECT id, source_id, target_id, type FROM relations WHERE type IN ('in', 'located_in') AND source_id IN (SELECT node FROM n) AND target_id IN (SELECT node FROM n)""")
 def subgraph_edges(g: KnowledgeGraph) -> DataFrame:
-    return graph.subgraph(g.relations(TYPES), SEEDS, 2, TYPES)[1].select("id", "source_id", "target_id", "type")
+    return graph.subgraph(g.relations(), SEEDS, 2, TYPES)[1].select("id", "source_id", "target_id", "type")
 
 
-@query()
+@query(f"""WITH {ENTITIES}, {RELATIONS}, n AS ({_bfs_sql("type IN ('in', 'located_in')")}),
+ed AS (SELECT * FROM relations WHERE type IN ('in', 'located_in') AND source_id IN (SELECT node FROM n) AND target_id IN (SELECT node FROM n)),
+li AS (SELECT source_id AS node, string_agg('  - ' || ed.type || ' ' || coalesce(nullif(name, ''), target_id) || ' [weight: ' || printf('%.2f', weight) || ', since ' || strftime(valid_at, '%Y-%m-%d') || ']' || chr(10), '' ORDER BY weight DESC, ed.id) AS lines FROM ed LEFT JOIN entities ON entities.id = target_id GROUP BY source_id),
+bl AS (SELECT hops, coalesce(name, '') AS name, n.node, chr(10) || coalesce(name, '') || ' (' || coalesce(type, '') || ', ' || CASE hops WHEN 0 THEN 'seed' WHEN 1 THEN '1 hop' ELSE hops || ' hops' END || ')' || CASE WHEN coalesce(summary, '') <> '' THEN ': ' || summary ELSE '' END || chr(10) || coalesce(lines, '') AS block FROM n LEFT JOIN entities ON entities.id = n.node LEFT JOIN li ON li.node = n.node)
+SELECT 'Context from knowledge graph:' || chr(10) || string_agg(block, '' ORDER BY hops, name, node) AS text FROM bl""")
 def subgraph_text(g: KnowledgeGraph) -> DataFrame:
-    nodes, edges = graph.subgraph(g.relations(TYPES), SEEDS, 2, TYPES)
+    nodes, edges = graph.subgraph(g.relations(), SEEDS, 2, TYPES)
     return graph.summarize(graph.hydrate(nodes, g.entities()), edges)
 
 
@@ -362,7 +366,7 @@ def quantized_topk(g: KnowledgeGraph) -> DataFrame:
     return knn.nearest_quantized(knn.quantized(_vectors(g)), _query_vector(g), 20).select("id", F.round("distance", 6).alias("distance"))
 
 
-@query()
+@query(f"WITH {_V}, w AS (SELECT id::VARCHAR AS id, e FROM v) SELECT id, round(distance, 6) AS distance FROM (SELECT id, round(1 - list_cosine_similarity(e, q), 9) AS distance FROM w, q ORDER BY distance, id LIMIT 20)")
 def inverted_file_topk(g: KnowledgeGraph) -> DataFrame:
     rows = _vectors(g).withColumn("id", F.col("id").cast("string"))
     return knn.InvertedFile.build(rows).search(_query_vector(g), 20).select("id", F.round("distance", 6).alias("distance"))
@@ -390,7 +394,7 @@ c AS (SELECT id, type, row_number() OVER (ORDER BY score DESC, type, id) AS rank
 
 def _channels(g: KnowledgeGraph) -> list[DataFrame]:
     words = bm25.search_all(g.entities(), g.relations(), g.episodes(), "building", KB, 30)
-    return [fusion.ranked(words), fusion.ranked(fusion.vector_channel(g.entities(embeddings=True), g.relations(("in",)), KB, _query_vector(g), 30))]
+    return [fusion.ranked(words), fusion.ranked(fusion.vector_channel(g.entities(embeddings=True), g.relations(), KB, _query_vector(g), 30))]
 
 
 @query(f"WITH {_RRF} SELECT type, id, round(sum(1 / (60.0::DOUBLE + rank)), 6) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY type, id")
@@ -410,7 +414,7 @@ def decay_multiplier(g: KnowledgeGraph) -> DataFrame:
 
 
 @query(f"""WITH {_RRF}, {_STATE}, seeds AS (SELECT id FROM b WHERE type = 'entity' UNION SELECT id FROM c WHERE type = 'entity'),
-e AS (SELECT source_id, target_id FROM relations WHERE type IN ('in', 'located_in')), both_ways AS (SELECT source_id AS src, target_id AS dst FROM e UNION SELECT target_id, source_id FROM e),
+e AS (SELECT source_id, target_id FROM relations WHERE valid_at <= TIMESTAMP '{NOW}' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '{NOW}')), both_ways AS (SELECT source_id AS src, target_id AS dst FROM e UNION SELECT target_id, source_id FROM e),
 h1 AS (SELECT DISTINCT dst AS node FROM both_ways JOIN seeds ON src = id), h2 AS (SELECT DISTINCT dst AS node FROM both_ways JOIN h1 ON src = node),
 near AS (SELECT node, min(h) AS hops FROM (SELECT node, 1 AS h FROM h1 UNION ALL SELECT node, 2 FROM h2) WHERE node NOT IN (SELECT id FROM seeds) GROUP BY node),
 gc AS (SELECT id, 'entity' AS type, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT node AS id, round(1.0 / hops, 9) AS score FROM near JOIN entities ON node = entities.id ORDER BY score DESC, id LIMIT 30)),
@@ -419,7 +423,7 @@ done AS (SELECT type, fused.id, round(score * {_FACTOR}, 9) AS score FROM fused
 SELECT id, type, round(score, 6) AS score FROM done ORDER BY done.score DESC, type, id LIMIT 10""")
 def hybrid_search(g: KnowledgeGraph) -> DataFrame:
     entities = g.entities(embeddings=True)
-    found = fusion.hybrid_search(entities, g.relations(), g.episodes(), g.customer_states(), KB, "building", _query_vector(g), now(), SearchOptions(top_k=10), edges=g.relations(TYPES))
+    found = fusion.hybrid_search(entities, g.relations(), g.episodes(), g.customer_states(), KB, "building", _query_vector(g), now(), SearchOptions(top_k=10))
     return found.select("id", "type", F.round("score", 6).alias("score"))
 
 
@@ -435,13 +439,13 @@ def decay_batch(g: KnowledgeGraph) -> DataFrame:
     return after.select("entity_type", "entity_id", F.round("strength", 6).alias("strength"))
 
 
-@query(f"""WITH {RELATIONS}, {_STATE}, w AS (SELECT id AS entity_id, round(strength * exp(-ln(2.0::DOUBLE) / {HALF_LIFE} * {_HOURS}), 9) AS strength FROM st),
-x AS (SELECT source_id AS id FROM relations WHERE type = 'buys_from' UNION SELECT target_id FROM relations WHERE type = 'buys_from')
-SELECT entity_id, round(strength, 6) AS strength FROM w WHERE strength <= 0.9 AND entity_id NOT IN (SELECT id FROM x)""")
+@query(f"""WITH {RELATIONS}, st AS (SELECT CASE event_type WHEN 'purchase' THEN 'relation' WHEN 'error' THEN 'episode' ELSE 'entity' END AS entity_type,
+  CASE event_type WHEN 'view' THEN 'c:' WHEN 'click' THEN 'z:' WHEN 'purchase' THEN 'located_in:c:' WHEN 'error' THEN 'd:' ELSE 's:' END || user_id AS entity_id, max(ts)::TIMESTAMP AS last_access FROM events GROUP BY 1, 2),
+w AS (SELECT entity_type, entity_id, round(exp(-ln(2.0::DOUBLE) / {HALF_LIFE} * {_HOURS}), 9) AS strength FROM st)
+SELECT entity_type, entity_id, round(strength, 6) AS strength FROM w WHERE strength <= 0.9 AND NOT (entity_type = 'entity' AND entity_id IN (SELECT source_id FROM relations UNION SELECT target_id FROM relations))""")
 def prune_candidates(g: KnowledgeGraph) -> DataFrame:
-    states = lifecycle.decay_batch(g.customer_states(), now(), HALF_LIFE).withColumn("strength", F.round("strength", 9))
-    found = lifecycle.prune_candidates(states, g.relations(("buys_from",)), 0.9)
-    return found.select("entity_id", F.round("strength", 6).alias("strength"))
+    states = lifecycle.decay_batch(g.memory_states(), now(), HALF_LIFE).withColumn("strength", F.round("strength", 9))
+    return lifecycle.prune_candidates(states, g.relations(), 0.9).select("entity_type", "entity_id", F.round("strength", 6).alias("strength"))
 
 
 _PAIRS = "pairs AS (SELECT 'c:' || x.vec_id AS a, 'c:' || y.vec_id AS b FROM embeddings x JOIN embeddings y ON 'c:' || x.vec_id < 'c:' || y.vec_id AND round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 9) >= 0.4 WHERE x.vec_id IN (SELECT c_custkey FROM customer) AND y.vec_id IN (SELECT c_custkey FROM customer))"
@@ -462,12 +466,6 @@ def redirect_relations(g: KnowledgeGraph) -> DataFrame:
     return lifecycle.redirect(g.relations(), F.broadcast(moves)).groupBy("source_id", "type").agg(F.count("*").alias("n"))
 
 
-@query()
-def consolidate(g: KnowledgeGraph) -> DataFrame:
-    entities = g.entities(embeddings=True)
-    return lifecycle.consolidate(entities, g.relations(("in", "located_in")), g.customer_states(), KB, 0.4, most_pairs=100)[3]
-
-
 # Names, sentences, rules
 
 
@@ -476,24 +474,24 @@ def normalize_names(g: KnowledgeGraph) -> DataFrame:
     return g.entities().select("id", tx.normalize_name(F.concat("name", F.lit("   "), "type", F.lit(" "))).alias("name"))
 
 
-_NEW_NAMES = "n(new_id, name) AS (SELECT 'x' || c_custkey, replace(c_name, '#', '') || CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE '' END FROM customer WHERE c_custkey <= 20)"
+_NEW_NAMES = "n(new_id, name) AS (SELECT 'x' || c_custkey, replace(c_name, '#', '') || CASE WHEN c_custkey % 200 = 0 THEN 'x' ELSE '' END FROM customer WHERE c_custkey % 100 = 0)"
 
 
-@query(f"""WITH {_NEW_NAMES}, s AS (SELECT new_id, 's:' || s_suppkey AS entity_id, round(jaro_winkler_similarity(lower(n.name), lower(s_name)), 9) AS similarity FROM n, supplier
-UNION ALL SELECT new_id, 'c:' || c_custkey, round(jaro_winkler_similarity(lower(n.name), lower(c_name)), 9) FROM n, customer),
+@query(f"""WITH {ENTITIES}, {_NEW_NAMES}, s AS (SELECT new_id, id AS entity_id, round(jaro_winkler_similarity(lower(n.name), lower(entities.name)), 9) AS similarity FROM n, entities),
 r AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY similarity DESC, entity_id) AS k FROM s) SELECT new_id, entity_id, round(similarity, 6) AS similarity FROM r WHERE k = 1 AND similarity >= 0.85""")
 def fuzzy_match(g: KnowledgeGraph) -> DataFrame:
-    known = g.entities().filter("type in ('customer', 'supplier')")
+    """Every hundredth customer under a changed name, against all entities."""
+    known = g.entities()
     key = F.substring("id", 3, 20).cast("int")
-    suffix = F.when(key % 2 == 0, "x").otherwise("")
-    new = known.filter((F.col("type") == "customer") & (key <= 20)).select("kb_id", F.concat(F.lit("x"), key.cast("string")).alias("id"), F.concat(F.regexp_replace("name", "#", ""), suffix).alias("name"), F.lit("").alias("type"), F.lit("").alias("summary"))
+    suffix = F.when(key % 200 == 0, "x").otherwise("")
+    new = known.filter((F.col("type") == "customer") & (key % 100 == 0)).select("kb_id", F.concat(F.lit("x"), key.cast("string")).alias("id"), F.concat(F.regexp_replace("name", "#", ""), suffix).alias("name"), F.lit("").alias("type"), F.lit("").alias("summary"))
     return resolve.fuzzy_matches(new, known).select("new_id", "entity_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH {_NEW_NAMES}, m AS (SELECT 'c:' || c_custkey AS entity_id, lower(c_name) AS k FROM customer) SELECT 'y' || c_custkey AS new_id, min(entity_id) AS entity_id FROM customer JOIN m ON k = lower(c_name) GROUP BY 1")
+@query(f"WITH {ENTITIES} SELECT 'y' || a.id AS new_id, min(b.id) AS entity_id FROM entities a JOIN entities b ON lower(a.name) = lower(b.name) AND a.type = b.type GROUP BY a.id")
 def exact_match(g: KnowledgeGraph) -> DataFrame:
-    known = g.entities().filter("type = 'customer'")
-    new = known.select("kb_id", F.concat(F.lit("y"), F.substring("id", 3, 20)).alias("id"), F.concat(F.lit(" "), F.upper("name")).alias("name"), F.lit("customer").alias("type"))
+    known = g.entities()
+    new = known.select("kb_id", F.concat(F.lit("y"), "id").alias("id"), F.concat(F.lit(" "), F.upper("name")).alias("name"), "type")
     return resolve.exact_matches(new, known)
 
 
@@ -503,14 +501,6 @@ def split_sentences(g: KnowledgeGraph) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.length("s")).alias("chars"))
 
 
-@query("WITH e AS (SELECT event_id, event_type, user_id FROM events) SELECT event_id, 'project' AS source, 'pkg' || user_id AS target, 'depends_on' AS type FROM e WHERE event_type = 'purchase' UNION ALL SELECT event_id, 'job', 'failed to load ' || user_id, 'failed_with' FROM e WHERE event_type = 'error'")
-def extract_rules(g: KnowledgeGraph) -> DataFrame:
-    user = F.col("user_id").cast("string")
-    text = F.when(F.col("event_type") == "purchase", F.concat(F.lit("npm install pkg"), user)).when(F.col("event_type") == "error", F.concat(F.lit("$ job run\nerror: failed to load "), user)).otherwise("All tests passed.")
-    texts = g.raw("events").select("event_id", text.alias("text"))
-    return extract.relations_of(texts, "text", ["event_id"]).select("event_id", "source", "target", "type")
-
-
 # Queue
 
 
@@ -528,3 +518,6 @@ def stale_recover(g: KnowledgeGraph) -> DataFrame:
 def job_claim(g: KnowledgeGraph) -> DataFrame:
     after, _ = jobs.claim(g.jobs(), 25, as_of())
     return after.groupBy("status").agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"))
+
+
+from graphloom.plans import more  # noqa: E402, F401 - registers the rest

@@ -89,6 +89,29 @@ class KnowledgeGraph:
         rows = self.raw("labels").join(docs, "doc_id")
         return rows.select(F.concat(F.lit("f:"), F.col("doc_id").cast("string")).alias("id"), F.lit(KB).alias("kb_id"), F.col("source").alias("topic"), F.col("text").alias("content"), F.col("quality").cast("string").alias("correction"), F.lit("labels").alias("source"), F.lit(EPOCH).cast("timestamp").alias("created_at"))
 
+    def knowledge_bases(self) -> DataFrame:
+        """Regions as knowledge bases, in order of their keys."""
+        return self.raw("region").select(F.concat(F.lit("k:"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("name"), F.lit("").alias("description"), F.timestamp_seconds(F.col("r_regionkey")).alias("created_at"))
+
+    def relation_vectors(self) -> DataFrame:
+        """Relations with the vector of the number of the customer at their source; others have none."""
+        held = self.raw("embeddings").select(F.concat(F.lit("c:"), F.col("vec_id").cast("string")).alias("source_id"), "embedding")
+        return self.relations().join(held, "source_id", "left")
+
+    def memory_states(self) -> DataFrame:
+        """Decay states of entities (some in no table), relations and episodes from the events of users of their numbers."""
+        user = F.col("user_id").cast("string")
+        kind = F.when(F.col("event_type") == "purchase", "relation").when(F.col("event_type") == "error", "episode").otherwise("entity")
+        mark = F.when(F.col("event_type") == "view", "c:").when(F.col("event_type") == "click", "z:").when(F.col("event_type") == "purchase", "located_in:c:").when(F.col("event_type") == "error", "d:").otherwise("s:")
+        rows = self.raw("events").groupBy(kind.alias("entity_type"), F.concat(mark, user).alias("entity_id")).agg(F.count("*").cast("int").alias("access_count"), F.max("ts").cast("timestamp").alias("last_access"))
+        return rows.select(F.lit(KB).alias("kb_id"), "entity_type", "entity_id", F.lit(1.0).alias("strength"), "access_count", "last_access")
+
+    def full_jobs(self) -> DataFrame:
+        """jobs() with all columns of a job table."""
+        none = F.lit(None).cast("string")
+        rows = self.jobs().withColumns({"content": F.lit(""), "metadata": F.create_map(F.lit("a"), F.lit("b")), "episode_id": none, "result": none, "error": none})
+        return rows.select("id", "kb_id", "status", "content", "source", "metadata", "episode_id", "result", "error", "attempts", "max_attempts", "created_at", "started_at", "completed_at")
+
     def jobs(self) -> DataFrame:
         """Orders as a queue: open ones wait, those in progress run, filled ones are done."""
         status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("completed")

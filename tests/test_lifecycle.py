@@ -37,11 +37,11 @@ def at(hours):
 
 
 def test_dedup(make):
-    rows = make[0](("a", "e1", "e2", "knows", 0.6, "short", 0), ("b", "e1", "e2", "knows", 0.4, "Alice knows Bob", 1), ("c", "e1", "e2", "knows", 0.3, "x", 2), ("d", "e1", "e1", "knows", 1.0, "", 0), ("e", "e1", "e2", "knows", 0.9, "old", 0, 5), ("f", "e1", "e2", "likes", 1.7, "", 0))
+    rows = make[0](("a", "e1", "e2", "knows", 0.75, "brief", 0), ("b", "e1", "e2", "knows", 0.2, "met at the harbour", 1), ("c", "e1", "e2", "knows", 0.1, "x", 2), ("d", "e1", "e1", "knows", 1.0, "", 0), ("e", "e1", "e2", "knows", 0.9, "old", 0, 5), ("f", "e1", "e2", "likes", 1.7, "", 0))
     after = lifecycle.dedup_relations(rows)
     found = {r["id"]: r for r in after.collect()}
     assert set(found) == {"a", "e", "f"}
-    assert found["a"]["weight"] == pytest.approx(0.832) and found["a"]["summary"] == "Alice knows Bob"
+    assert found["a"]["weight"] == pytest.approx(0.82) and found["a"]["summary"] == "met at the harbour"
     assert found["f"]["weight"] == 1.7
     assert {r["id"] for r in lifecycle.dedup_removed(rows, after).collect()} == {"b", "c", "d"}
     assert lifecycle.dedup_relations(rows, entity="e9").count() == 6
@@ -86,7 +86,7 @@ def test_prune(make):
 
 
 def test_consolidate(make):
-    entities = make[1](("e1", [1.0, 0.0, 0.0, 0.0], "long summary"), ("e2", [0.99, 0.01, 0.0, 0.0], "s"), ("e3", [0.0, 1.0, 0.0, 0.0], ""))
+    entities = make[1](("e1", [0.6, 0.8, 0.0], "two of them are one"), ("e2", [0.59, 0.81, 0.02], "one"), ("e3", [0.0, -0.3, 2.0], ""))
     relations = make[0](("r1", "e1", "e3", "knows", 0.8, "", 0), ("r2", "e2", "e3", "knows", 0.5, "", 0))
     kept, after, states, moves = lifecycle.consolidate(entities, relations, make[2](("entity", "e2", 1.0, 1, 0)), "k", 0.9)
     assert [(r["merged"], r["survivor"]) for r in moves.collect()] == [("e2", "e1")]
@@ -95,6 +95,36 @@ def test_consolidate(make):
     assert states.count() == 0
 
 
+def test_merges_in_rounds_are_merges_in_order(spark):
+    import random
+
+    rng = random.Random(5)
+    for n in (6, 25):
+        pairs = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(2 * n)})
+        rows = [(f"e{a:02d}", f"e{b:02d}", *((f"e{a:02d}", f"e{b:02d}") if rng.random() < 0.5 else (f"e{b:02d}", f"e{a:02d}"))) for a, b in pairs]
+        gone = {}
+        for a, b, survivor, merged in sorted(rows):
+            if a not in gone and b not in gone:
+                gone[merged] = survivor
+
+        def last(x, gone=gone):
+            while x in gone:
+                x = gone[x]
+            return x
+
+        table = spark.createDataFrame(rows, "a string, b string, survivor string, merged string")
+        assert {r["merged"]: r["survivor"] for r in lifecycle.greedy_moves(table).collect()} == {m: last(m) for m in gone}
+    assert lifecycle.greedy_moves(table.limit(0)).count() == 0
+
+
+def test_consolidation_takes_all_pairs_if_told(make):
+    entities = make[1](*[(f"e{i}", [1.0, 0.001 * i], "s" * i) for i in range(14)], ("f0", [0.0, 1.0, 0.0], ""), ("f1", [0.0, 1.0, 0.001], "x"))
+    nothing = make[0](("r", "x", "y", "t", 1.0, "", 0))
+    moves = lifecycle.consolidate(entities, nothing, make[2](("entity", "q", 1.0, 1, 0)), "k", 0.9, most_pairs=None)[3]
+    found = {r["merged"]: r["survivor"] for r in moves.collect()}
+    assert set(found.values()) == {"e13", "f1"} and len(found) == 14
+
+
 def test_references(make):
     entities = make[1](("a", None, ""), ("b", None, ""))
     relations = make[0](("r", "a", "b", "t", 1.0, "", 0), ("s", "a", "x", "t", 1.0, "", 0))

@@ -124,6 +124,38 @@ def test_inverted_file_default_is_exact(spark):
     assert found == exact and len(found) == 20
 
 
+def test_inverted_file_changes_and_keeps(spark, tmp_path):
+    """Rows come, change and go; the stored index answers as an exact scan of what it should hold."""
+    rng = np.random.default_rng(8)
+    rows = [(f"{i:03d}", "k" if i % 5 else "j", [float(x) for x in rng.normal(size=8)]) for i in range(300)]
+    schema = "id string, kb_id string, embedding array<float>"
+    index = knn.InvertedFile.build(spark.createDataFrame(rows[:200], schema))
+    moved = [(i, kb, [-x for x in v]) for i, kb, v in rows[150:200]]
+    index = index.insert(spark.createDataFrame(moved + rows[200:], schema)).remove(spark.createDataFrame([(i, kb) for i, kb, _ in rows[:40]], "id string, kb_id string"))
+    index.save(f"{tmp_path}/index")
+    held = {i: (kb, v) for i, kb, v in rows[40:150] + moved + rows[200:]}
+    exact = spark.createDataFrame([(i, kb, v) for i, (kb, v) in held.items()], schema).cache()
+    for again in (index, knn.InvertedFile.load(spark, f"{tmp_path}/index")):
+        assert again.count() == len(held) and again.count("j") == sum(kb == "j" for kb, _ in held.values())
+        assert again.has("k", "151") and not again.has("k", "001") and not again.has("j", "151")
+        for q in (rows[3][2], moved[4][2], rows[250][2]):
+            assert [r["id"] for r in again.search(q, 12).collect()] == [r["id"] for r in knn.nearest(exact, q, 12).collect()]
+    assert index.drop("j").count("j") == 0
+
+
+def test_similar_pairs_of_all_dimensions(spark):
+    rng = np.random.default_rng(11)
+    rows = [(f"{i:03d}", [float(x) for x in rng.normal(size=3 + i % 2)]) for i in range(150)] + [("zero", [0.0, 0.0, 0.0]), ("none", None), ("empty", [])]
+    table = spark.createDataFrame(rows, "id string, embedding array<double>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows[:150]}
+    expected = {(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.8}
+    for size in (1 << 20, 64):
+        found = knn.similar_pairs(table, 0.8, block_bytes=size).collect()
+        assert len(found) == len(expected) and {(r["a"], r["b"]) for r in found} == expected
+    first = knn.similar_pairs(table, 0.8, 7).collect()
+    assert [(r["a"], r["b"]) for r in first] == sorted(expected)[:7]
+
+
 def test_inverted_file_skips_far_cells(spark):
     rng = np.random.default_rng(3)
     middles = rng.normal(size=(12, 16))
@@ -142,7 +174,7 @@ def test_similar_pairs(spark):
     v[17], v[40] = v[3], 0
     rows = [(f"{i:03d}", [float(x) for x in r]) for i, r in enumerate(v)] + [("900", [1.0]), ("901", None)]
     table = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(3)
-    found = {(r["a"], r["b"]) for r in knn.similar_pairs(table, 0.6, block=16).collect()}
+    found = {(r["a"], r["b"]) for r in knn.similar_pairs(table, 0.6, block_bytes=16 * 64).collect()}
     w = np.asarray(v, np.float32).astype(float)
     n = np.linalg.norm(w, axis=1)
     expected = {(f"{i:03d}", f"{j:03d}") for i in range(90) for j in range(i + 1, 90) if n[i] * n[j] and w[i] @ w[j] / n[i] / n[j] >= 0.6}
