@@ -85,6 +85,11 @@ def now() -> Column:
     return F.lit(NOW).cast("timestamp")
 
 
+def settled(weight: Column) -> Column:
+    """A combined weight to twelve digits. Products of weights of two digits can lie just between two such numbers, where the last bit decides; none lies there after this shift."""
+    return F.round(weight + 3e-14, 12)
+
+
 # Lookups, snapshots, counts
 
 
@@ -174,9 +179,9 @@ def access_state(g: KnowledgeGraph) -> DataFrame:
 # Weights and duplicates
 
 
-@query(f"WITH {RELATIONS} SELECT source_id, type, round(1 - product(1 - weight), 12) AS weight, count(*) AS n FROM relations GROUP BY source_id, type")
+@query(f"WITH {RELATIONS} SELECT source_id, type, round(1 - product(1 - weight) + 3e-14, 12) AS weight, count(*) AS n FROM relations GROUP BY source_id, type")
 def combine_weights(g: KnowledgeGraph) -> DataFrame:
-    return g.relations().groupBy("source_id", "type").agg(F.round(wt.combine_all(F.col("weight")), 12).alias("weight"), F.count("*").alias("n"))
+    return g.relations().groupBy("source_id", "type").agg(settled(wt.combine_all(F.col("weight"))).alias("weight"), F.count("*").alias("n"))
 
 
 @query(f"WITH {RELATIONS} SELECT source_id, target_id, type, count(*) AS n FROM relations WHERE invalid_at IS NULL GROUP BY ALL HAVING count(*) > 1")
@@ -188,20 +193,20 @@ _DEDUP = f"""WITH {RELATIONS}, v AS (SELECT * FROM relations WHERE invalid_at IS
 m AS (SELECT source_id, target_id, type, arg_min(id, (-weight, epoch_us(created_at), id)) AS id, arg_min(summary, (-strlen(summary), -weight, epoch_us(created_at), id)) AS summary, CASE WHEN count(*) = 1 THEN max(weight) ELSE 1 - product(1 - weight) END AS weight, min(valid_at) AS valid_at, count(*) AS n FROM v GROUP BY ALL)"""
 
 
-@query(f"{_DEDUP} SELECT id, source_id, target_id, type, summary, round(weight, 12) AS weight, valid_at FROM m UNION ALL SELECT id, source_id, target_id, type, summary, round(weight, 12), valid_at FROM relations WHERE invalid_at IS NOT NULL")
+@query(f"{_DEDUP} SELECT id, source_id, target_id, type, summary, round(weight + 3e-14, 12) AS weight, valid_at FROM m UNION ALL SELECT id, source_id, target_id, type, summary, round(weight + 3e-14, 12), valid_at FROM relations WHERE invalid_at IS NOT NULL")
 def dedup_relations(g: KnowledgeGraph) -> DataFrame:
-    return lifecycle.dedup_relations(g.relations()).select("id", "source_id", "target_id", "type", "summary", F.round("weight", 12).alias("weight"), F.col("valid_at").cast("timestamp_ntz").alias("valid_at"))
+    return lifecycle.dedup_relations(g.relations()).select("id", "source_id", "target_id", "type", "summary", settled(F.col("weight")).alias("weight"), F.col("valid_at").cast("timestamp_ntz").alias("valid_at"))
 
 
 @query(f"""WITH {RELATIONS}, o AS (SELECT * FROM relations WHERE invalid_at IS NULL AND summary <> 'N'), n AS (SELECT source_id, target_id, type, CASE WHEN count(*) = 1 THEN max(weight) ELSE 1 - product(1 - weight) END AS added FROM relations WHERE summary = 'N' AND invalid_at IS NULL GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, type ORDER BY weight DESC, created_at, id) AS k FROM o)
-SELECT source_id, target_id, type, summary, round(CASE WHEN added IS NULL OR k > 1 THEN weight ELSE 1 - (1 - weight) * (1 - added) END, 12) AS weight FROM (SELECT r.*, added FROM r LEFT JOIN n USING (source_id, target_id, type))
-UNION ALL SELECT source_id, target_id, type, 'N', round(added, 12) FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source_id = n.source_id AND o.target_id = n.target_id AND o.type = n.type)""")
+SELECT source_id, target_id, type, summary, round(CASE WHEN added IS NULL OR k > 1 THEN weight ELSE 1 - (1 - weight) * (1 - added) END + 3e-14, 12) AS weight FROM (SELECT r.*, added FROM r LEFT JOIN n USING (source_id, target_id, type))
+UNION ALL SELECT source_id, target_id, type, 'N', round(added + 3e-14, 12) FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source_id = n.source_id AND o.target_id = n.target_id AND o.type = n.type)""")
 def upsert_strengthen(g: KnowledgeGraph) -> DataFrame:
     """Of all valid relations those with mark N come to the others."""
     rows = g.relations().filter("invalid_at is null")
     after = lifecycle.upsert_relations(rows.filter("summary <> 'N'"), rows.filter("summary = 'N'"))
-    return after.select("source_id", "target_id", "type", "summary", F.round("weight", 12).alias("weight"))
+    return after.select("source_id", "target_id", "type", "summary", settled(F.col("weight")).alias("weight"))
 
 
 # Graph

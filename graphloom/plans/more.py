@@ -9,7 +9,7 @@ from graphloom.functions import text as tx
 from graphloom.functions import vectors as vx
 from graphloom.functions import weights as wt
 from graphloom.operators import bm25, extract, fusion, graph, ingest, jobs, knn, lifecycle, providers, resolve, scans, writes
-from graphloom.plans.catalogue import _PAIRS, _TOP, _V, AS_OF, ENTITIES, HALF_LIFE, RELATIONS, SEED_ROWS, SEEDS, TYPES, _bfs_sql, _bm25_sql, _pagerank_sql, _query_vector, _vectors, as_of, now, query
+from graphloom.plans.catalogue import _PAIRS, _TOP, _V, AS_OF, ENTITIES, HALF_LIFE, RELATIONS, SEED_ROWS, SEEDS, TYPES, _bfs_sql, _bm25_sql, _pagerank_sql, _query_vector, _vectors, as_of, now, query, settled
 from graphloom.schema import SearchOptions, page_limit
 from graphloom.sources import sinks
 from graphloom.sources.kg import EPOCH, KB, NOW, KnowledgeGraph
@@ -138,7 +138,7 @@ def update_entities(g: KnowledgeGraph) -> DataFrame:
     return after.groupBy("type", "summary").agg(F.count("*").alias("n"), F.count_if(F.col("updated_at") == now()).alias("touched"))
 
 
-@query(f"WITH {RELATIONS} SELECT 'episodes' AS what, count(*) AS n FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT 'cited', count(*) FROM relations WHERE type = 'located_in' AND source_id[1] = 'c' AND CAST(source_id[3:] AS BIGINT) % 10 <> 0 UNION ALL SELECT 'relations', count(*) FROM relations WHERE type = 'located_in' AND source_id[1] = 'c'")
+@query(f"WITH {RELATIONS} SELECT 'episodes' AS what, count(*) AS n FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT 'cited', count(*) FROM relations WHERE type = 'located_in' AND source_id[1] = 'c' AND NOT (CAST(source_id[3:] AS BIGINT) % 10 = 0 AND CAST(source_id[3:] AS BIGINT) IN (SELECT doc_id FROM documents)) UNION ALL SELECT 'relations', count(*) FROM relations WHERE type = 'located_in' AND source_id[1] = 'c'")
 def delete_episodes_cascade(g: KnowledgeGraph) -> DataFrame:
     episodes = g.episodes()
     relations = g.relations(("located_in",)).filter("source_id like 'c:%'").withColumn("episode_id", F.concat(F.lit("d:"), F.substring("source_id", 3, 20)))
@@ -434,7 +434,7 @@ def extract_relations(g: KnowledgeGraph) -> DataFrame:
     return extract.relations_of(_rule_texts(g), "text", ["event_id"]).select("event_id", "source", "target", "type", "weight")
 
 
-@query(f"WITH {_SAID} SELECT event_id, text FROM t WHERE k <> 6 AND event_id % 3 = 0")
+@query(f"WITH {_SAID} SELECT event_id, rtrim(text, chr(10)) AS text FROM t WHERE k <> 6 AND event_id % 3 = 0")
 def hook_texts(g: KnowledgeGraph) -> DataFrame:
     """Every third call of a hook, if a rule would look at its output."""
     calls = _rule_texts(g).select(F.col("event_id").alias("call"), F.lit(KB).alias("kb_id"), F.concat(F.lit("  \n"), "text", F.lit(" ")).alias("content"))
@@ -497,14 +497,14 @@ def in_batch_entities(g: KnowledgeGraph) -> DataFrame:
 
 
 @query(f"""WITH {RELATIONS}, e AS (SELECT *, row_number() OVER (ORDER BY id) AS position FROM relations WHERE type = 'buys_from' AND target_id NOT IN ('s:3', 's:4'))
-SELECT source_id, target_id, round(CASE WHEN count(*) = 1 THEN max(w) ELSE 1 - product(1 - w) END, 12) AS weight, arg_min(summary, (-strlen(summary), position)) AS summary FROM (SELECT *, CASE WHEN weight = 0 THEN 0.5 ELSE weight END AS w FROM e) GROUP BY source_id, target_id""")
+SELECT source_id, target_id, round(CASE WHEN count(*) = 1 THEN max(w) ELSE 1 - product(1 - w) END + 3e-14, 12) AS weight, arg_min(summary, (-strlen(summary), position)) AS summary FROM (SELECT *, CASE WHEN weight = 0 THEN 0.5 ELSE weight END AS w FROM e) GROUP BY source_id, target_id""")
 def resolved_relations(g: KnowledgeGraph) -> DataFrame:
     """Relations by the names of their ends, with blanks and capitals: ends without an entity drop out, and what says the same is merged."""
     names = g.entities().filter(~F.col("id").isin("s:3", "s:4")).filter("type in ('customer', 'supplier')").select("kb_id", resolve.endpoint(F.col("name")).alias("key"), F.col("id").alias("entity_id"))
     spoken = lambda end: F.concat(F.lit(" "), F.when(F.substring(end, 1, 1) == "c", F.lit("CUSTOMER#")).otherwise(F.lit("supplier#")), F.lpad(F.substring(end, 3, 20), 9, "0"))
     said = g.relations(("buys_from",)).select("kb_id", spoken("source_id").alias("source"), spoken("target_id").alias("target"), "type", "summary", "weight", F.col("id").alias("position"))
     merged = resolve.merge_relations(resolve.resolve_ends(said, names))
-    return merged.select("source_id", "target_id", F.round("weight", 12).alias("weight"), "summary")
+    return merged.select("source_id", "target_id", settled(F.col("weight")).alias("weight"), "summary")
 
 
 def _packages(g: KnowledgeGraph) -> DataFrame:
