@@ -1,27 +1,28 @@
 """A hidden Markov language model.
 
 Tokens are words with A-Z lower-cased, and one end per text. Training counts every token of every training text
-(``word_counts``). The model's symbols are the ``SYMBOLS`` most frequent words, the end, and classes of rarer words by
-their last letters; a rarer word is its class's symbol, then the word within its class:
+(``word_counts``). The model's symbols are about ``SYMBOLS`` words, the most frequent ones (of the words of the least such
+level of counts, a share by their hash), the end, and classes of rarer words by their last letters; a rarer word is its
+class's symbol, then the word within its class:
 
     P(word | state) = P(class | state) * (c + 1) / (N_class + V_class + 1)
 
 where words without a count share the one that is added. So the model is exact over all texts, and its states and
 emissions stay of a fixed size while the counts grow with the corpus.
 
-Baum-Welch trains the states in ``ROUNDS`` rounds, each over all training texts, at every size: each task adds up the
-expected counts of its texts, and the sums over tasks give the next model. For that the training texts are stored once
-as symbols. The scaled forward recursion over a text's symbols gives its exact
-likelihood; the parts within classes do not depend on states and are added through a join of the rare words of all texts
-with their counts.
+All texts are read once as symbols and stored so, with their rarer words. Baum-Welch trains the states in ``ROUNDS``
+rounds, each over all training texts, at every size: each task adds up the expected counts of its texts, and the sums over
+tasks give the next model. The scaled forward recursion over a text's symbols gives its exact likelihood; the counts of
+rarer words, which do not depend on states, come through a join of these words with the corpus's counts. The most frequent
+of them is still in many texts of a very large corpus: its rows are a skewed partition of that join, which Spark splits.
 
 Null and empty texts are a lone end. Repeated rows are each counted and scored. With no training texts all counts are 0
-and the model is uniform. Long texts are processed step by step, in memory in proportion to a batch.
+and the model is uniform; an empty table gives no rows. Extra columns play no part, whatever their names. Long texts are
+processed step by step, in memory in proportion to a batch.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import common
 
 STATES = 6
-#: Most frequent words, which are symbols of their own and whose counts go to all tasks.
+#: Most frequent words, about, which are symbols of their own and whose counts go to all tasks.
 SYMBOLS = 65_536
 #: Classes of rarer words.
 CLASSES = 2048
@@ -48,8 +49,6 @@ HELD = 400_000
 BATCH_TOKENS = 1_500_000
 #: Tokens of a text that is trained on beside others as long.
 LONG = 1500
-#: Cells whose expected counts are added up at once.
-PART_TOKENS = 50_000
 #: Texts that are read at once.
 TEXTS = 1024
 _kept: dict = {}
@@ -107,6 +106,7 @@ class Model:
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
+        self.by_state = np.ascontiguousarray(emit.T)
 
     @staticmethod
     def first(states: int, shares: np.ndarray, seed: int = 7) -> Model:
@@ -154,51 +154,64 @@ def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
 
 
 def expected(model: Model, sequences: list[np.ndarray], sums: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-    """Adds the expected counts of starts, moves and emissions to sums; sequences come longest first."""
+    """Adds the expected counts of starts, moves and emissions to sums; sequences come longest first.
+
+    Arrays have a row per state. The texts of a step are the first of those of the step before it, so all steps work on
+    slices side by side.
+    """
     cells, active, begin = packed(sequences)
-    ones, back = np.ones(len(model.start)), np.ascontiguousarray(model.move.T)
-    emitted = model.emit[cells]
+    ones, there = np.ones((1, len(model.start))), np.ascontiguousarray(model.move.T)
+    emitted = model.by_state[:, cells]
     alphas = np.empty_like(emitted)
     at, counts = begin.tolist(), active.tolist()
     for step, n in enumerate(counts):
-        now, here = emitted[at[step] : at[step + 1]], alphas[at[step] : at[step + 1]]
-        if step == 0:
-            np.multiply(model.start, now, out=here)
-        else:
-            np.matmul(alphas[at[step - 1] : at[step - 1] + n], model.move, out=here)
-            here *= now
-        inverse = (1 / (here @ ones))[:, None]
+        now, here = emitted[:, at[step] : at[step + 1]], alphas[:, at[step] : at[step + 1]]
+        before = model.start[:, None] if step == 0 else there @ alphas[:, at[step - 1] : at[step - 1] + n]
+        np.multiply(before, now, out=here)
+        inverse = 1 / (ones @ here)
         here *= inverse
         now *= inverse
-    # Backward: emitted becomes what a text's step and those after it give, scaled.
-    beta = np.ones((len(sequences), len(ones)))
+    start, move, emit = sums
+    # Backward: emitted becomes what a text's step and those after it give, alphas the share of each state.
+    beta, moved = np.ones((len(ones[0]), len(sequences))), np.zeros_like(move)
     for step in range(len(counts) - 1, 0, -1):
-        now, later = emitted[at[step] : at[step + 1]], beta[: counts[step]]
+        now, later = emitted[:, at[step] : at[step + 1]], beta[:, : counts[step]]
+        before = alphas[:, at[step - 1] : at[step - 1] + counts[step]]
         now *= later
-        np.matmul(now, back, out=later)
-    start, move, emit = sums
-    start += (alphas[: at[1]] * beta).sum(axis=0)
-    # The same text's cell a step before.
-    first = at[1]
-    before = np.arange(first, at[-1]) - np.repeat(active[:-1], active[1:])
-    parts = [slice(low, low + PART_TOKENS) for low in range(0, len(before), PART_TOKENS)]
-    move += model.move * sum((alphas[before[p]].T @ emitted[first:][p] for p in parts), np.zeros_like(move))
-    # What follows a cell, at the cell: a text's last step has nothing after it.
-    for p in parts:
-        alphas[before[p]] *= emitted[first:][p] @ back
-    for k in range(len(ones)):
-        emit[:, k] += np.bincount(cells, alphas[:, k], len(emit))
-
-
-def as_symbols(texts: DataFrame, symbols, mark: str) -> DataFrame:
-    """texts (text) to (symbols): each text's symbols with its end, as 32-bit numbers."""
+        moved += before @ now.T
+        np.matmul(model.move, now, out=later)
+        before *= later
+    start += alphas[:, : at[1]].sum(axis=1)
+    move += model.move * moved
+    for k in range(len(alphas)):
+        emit[:, k] += np.bincount(cells, alphas[k], len(emit))
+
+
+def class_of(word: Column) -> Column:
+    """word_class() as a column."""
+    mark = F.when(F.octet_length(word) > 24, F.lit("+")).otherwise(F.lit("")).cast("binary")
+    return (F.crc32(F.concat(F.substring(word, -3, 3), mark)) % CLASSES).cast("int")
+
+
+def read_texts(texts: DataFrame, symbols, mark: str, end_count: int, unit: float) -> DataFrame:
+    """texts (id, text, held_out, learnt) to (row, id, held_out, learnt, symbols, rare, n_known, base): each text's symbols with its end as 32-bit numbers, its rarer words in order, and the count of known tokens and base score without the counts of rarer words."""
+    schema = "row long, id long, held_out boolean, learnt boolean, symbols binary, rare array<binary>, n_known long, base double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.worker_cache(_kept, mark, lambda: Symbols(*symbols.value))
+        logs = np.log10((np.concatenate([known.counts[:-1], np.zeros(CLASSES), [end_count]]) + 1) * unit)
+        counted = np.concatenate([np.ones(known.n_words, np.int64), np.zeros(CLASSES, np.int64), [int(end_count > 0)]])
         for batch in common.pieces(batches, TEXTS):
-            yield common.record_batch({"symbols": pa.binary()}, symbols=[known.of(t)[0].astype("<i4").tobytes() for t in common.column_bytes(batch.column(0))])
+            read = [known.of(t) for t in common.column_bytes(batch.column(1))]
+            flat = np.concatenate([s for s, _ in read])
+            first = np.cumsum([0, *[len(s) for s, _ in read[:-1]]])
+            places = np.cumsum([0, *[len(r) for _, r in read]])
+            rare = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array([w for _, r in read for w in r], pa.binary()))
+            stored = pa.array([s.astype("<i4").tobytes() for s, _ in read], pa.binary())
+            rows = pa.array(row_numbers(len(read)), pa.int64())
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), batch.column(2), batch.column(3), stored, rare, pa.array(np.add.reduceat(counted[flat], first)), pa.array(np.add.reduceat(logs[flat], first))], names=["row", "id", "held_out", "learnt", "symbols", "rare", "n_known", "base"])
 
-    return common.map_arrow(texts, run, "symbols binary")
+    return common.map_arrow(texts, run, schema)
 
 
 def expected_counts(texts: DataFrame, model, size: int, states: int) -> DataFrame:
@@ -237,48 +250,42 @@ def expected_counts(texts: DataFrame, model, size: int, states: int) -> DataFram
     return common.map_arrow(texts, run, schema).groupBy("symbol").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)])
 
 
+def frequent_words(counts: DataFrame, n_symbols: int) -> Column:
+    """Which rows of counts (word, c) are symbols of their own: about n_symbols of the most frequent. Counts go by level; of the words of the level that does not fit whole, a share by their hash does."""
+    level = F.floor(F.log2(F.col("c").cast("double")) * 64).cast("int")
+    left = n_symbols
+    for row in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.col("level").desc()).collect():
+        if row["n"] > left:
+            return (level > row["level"]) | ((level == row["level"]) & (common.hash_fraction(1, F.col("word")) < left / row["n"]))
+        left -= row["n"]
+    return F.lit(True)
+
+
 def score_texts(docs: DataFrame, may_learn: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, n_symbols: int = SYMBOLS, rounds: int = ROUNDS, seed: int = 13) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all texts."""
     spark = docs.sparkSession
-    learnt = docs.filter(may_learn).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out.alias("held_out"), may_learn.alias("learnt"))
+    learnt = rows.filter("learnt")
     counts = common.materialize(word_counts(learnt.select("text")), "counts")
     n_texts = learnt.count()
     n_words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # The end is a token of each text.
     n_all, v_all = n_words + n_texts, distinct + (n_texts > 0)
-    # The most frequent words, at most n_symbols, come to the driver: those of a level of counts and above it.
-    level = F.floor(F.log2(F.col("c").cast("double")) * 64).cast("int")
-    least, held = 0, 0
-    for row in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.col("level").desc()).collect():
-        held += row["n"]
-        if held > n_symbols:
-            least = row["level"] + 1
-            break
-    frequent = sorted(((bytes(r[0]), r[1]) for r in counts.filter(level >= least).collect()), key=lambda r: (-r[1], r[0]))
-    is_rare = level < least
-    rare_counts = counts.filter(is_rare)
+    is_symbol = frequent_words(counts, n_symbols)
+    frequent = sorted(((bytes(r[0]), r[1]) for r in counts.filter(is_symbol).collect()), key=lambda r: (-r[1], r[0]))
+    rare_counts = counts.filter(~is_symbol)
     by_class = np.zeros((CLASSES, 2))
-
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((CLASSES, 2), np.int64)
-        for batch in batches:
-            at = np.array([word_class(w) for w in batch.column(0).to_pylist()], np.int64)
-            sums[:, 0] += np.bincount(at, batch.column(1).to_numpy(), CLASSES).astype(np.int64)
-            sums[:, 1] += np.bincount(at, minlength=CLASSES)
-        yield common.record_batch({"k": pa.int32(), "n": pa.int64(), "v": pa.int64()}, k=np.arange(CLASSES), n=sums[:, 0], v=sums[:, 1])
-
-    for r in common.map_arrow(rare_counts, classes, "k int, n long, v long").groupBy("k").agg(F.sum("n"), F.sum("v")).collect():
+    for r in rare_counts.groupBy(class_of(F.col("word")).alias("k")).agg(F.sum("c"), F.count("*")).collect():
         by_class[r[0]] = r[1], r[2]
-
     words, totals = [w for w, _ in frequent], [c for _, c in frequent]
     symbols = spark.sparkContext.broadcast((words, totals))
-    mark = common.mark()
     size = len(words) + CLASSES + 1
     shares = np.concatenate([totals, by_class[:, 0], [n_texts]]) + 0.5
     shares /= shares.sum()
     model = Model.first(states, shares, seed)
+    read = common.materialize(read_texts(rows, symbols, common.mark(), n_texts, 1 / (n_all + v_all + 1)), "read")
     if n_texts:
-        stored = common.materialize(as_symbols(learnt.select("text"), symbols, mark), "symbols")
+        stored = read.filter("learnt").select("symbols")
         for _ in range(rounds):
             sent = spark.sparkContext.broadcast(model)
             start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
@@ -289,57 +296,29 @@ def score_texts(docs: DataFrame, may_learn: Column, held_out: Column, id_col: st
                 move[k] = values[numbers == -2 - k].sum(axis=0)
             emit[numbers[numbers >= 0]] = values[numbers >= 0]
             model = Model.from_counts(start, move, emit, shares)
-    final = spark.sparkContext.broadcast((model, by_class))
-    unit = 1 / (n_all + v_all + 1)
-    end_count = n_texts
+            sent.unpersist()
+    # What a class's symbol costs besides its emission: the tokens of the class.
+    within = np.zeros(size)
+    within[len(words) : len(words) + CLASSES] = -np.log10(by_class[:, 0] + by_class[:, 1] + 1)
+    final = spark.sparkContext.broadcast((model, within))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = common.worker_cache(_kept, mark, lambda: Symbols(*symbols.value))
-        trained, _ = final.value
-        logs = np.log10((np.concatenate([known.counts[:-1], np.zeros(CLASSES), [end_count]]) + 1) * unit)
+        trained, costs = final.value
         for batch in common.pieces(batches, TEXTS):
-            ids = batch.column(0)
-            read = [known.of(t) for t in common.column_bytes(batch.column(1))]
-            sequences = [s for s, _ in read]
-            scores = np.zeros(len(read))
+            sequences = [np.frombuffer(x, "<i4") for x in batch.column(3).to_pylist()]
+            lengths = np.array([len(s) for s in sequences])
+            scores = np.zeros(len(sequences))
             order = longest_first(sequences)
             scores[order] = forward(trained, [sequences[i] for i in order])
-            common_words = [s[(s < known.n_words) | (s == known.end)] for s in sequences]
-            rare = [Counter(words) for _, words in read]
-            owner = np.repeat(np.arange(len(read)), [len(r) for r in rare])
-            row = pa.array([int(x) for x in row_numbers(len(read))], pa.int64())
-            n = len(read)
-            nothing = pa.nulls(n, pa.binary())
-            known_here = [int(((s < known.n_words) | ((s == known.end) & (end_count > 0))).sum()) for s in sequences]
-            texts = [row, ids, batch.column(2), nothing, pa.nulls(n, pa.int64()), pa.array([len(s) for s in sequences], pa.int64()), pa.array(known_here, pa.int64()), pa.array([float(logs[s].sum()) for s in common_words]), pa.array(scores)]
-            yield pa.RecordBatch.from_arrays(texts, names=NAMES)
-            if len(owner):
-                m = len(owner)
-                flat = [w for r in rare for w in r]
-                yield pa.RecordBatch.from_arrays([row.take(pa.array(owner)), pa.nulls(m, ids.type), pa.nulls(m, pa.bool_()), pa.array(flat, pa.binary()), pa.array([c for r in rare for c in r.values()], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=NAMES)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out.alias("held_out"))
-    made = common.materialize(common.map_arrow(rows, run, "row long, id long, held_out boolean, word binary, times long, n_tokens long, n_known long, base double, score double"), "scored")
-    by_text = made.filter("word is null").drop("word", "times")
-    # Rare words only: none of them is frequent, so the join has no hot key.
-    met = made.filter("word is not null").select("row", "word", "times").join(rare_counts, "word", "left").withColumn("c", F.coalesce(F.col("c"), F.lit(0)))
-
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, by = final.value
-        below = np.log10(by[:, 0] + by[:, 1] + 1)
-        for batch in batches:
-            at = np.array([word_class(w) for w in batch.column(1).to_pylist()], np.int64)
-            times, c = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            logs = np.log10(c + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(c > 0, times, 0)), pa.array(times * (logs + math.log10(unit))), pa.array(times * (logs - below[at]))], names=["row", "more_known", "more_base", "more_score"])
+            scores += np.add.reduceat(costs[np.concatenate(sequences)], np.cumsum(lengths) - lengths)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lengths, pa.int64()), *batch.columns[4:], pa.array(scores)], names=["row", "id", "held_out", "n_tokens", "n_known", "base", "score"])
 
-    added = common.map_arrow(met.select("row", "word", "times", "c"), within, "row long, more_known long, more_base double, more_score double").groupBy("row").agg(*[F.sum(x).alias(x) for x in ("more_known", "more_base", "more_score")])
-    plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
+    by_text = common.map_arrow(read.select("row", "id", "held_out", "symbols", "n_known", "base"), run, "row long, id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    met = read.select("row", F.explode("rare").alias("word")).join(rare_counts, "word")
+    added = met.groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("c") + 1)).alias("more"))
     scored = by_text.join(added, "row", "left")
-    return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", plus("n_known", "more_known"), F.lit(n_all).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("score", "more_score"))
-
-
-NAMES = ["row", "id", "held_out", "word", "times", "n_tokens", "n_known", "base", "score"]
+    plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
+    return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", plus("n_known", "more_known"), F.lit(n_all).cast("long").alias("train_tokens"), plus("base", "more").alias("base_score"), plus("score", "more"))
 
 
 def row_numbers(n: int) -> np.ndarray:

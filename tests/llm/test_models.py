@@ -228,6 +228,64 @@ def test_hidden_markov_trains_on_all_texts(spark, monkeypatch, n):
         assert math.isclose(found[i], lm.forward(model, [symbols.of(texts[i].encode())[0]])[0], rel_tol=1e-6)
 
 
+def test_hidden_markov_classes_are_those_of_columns(spark):
+    words = [b"a", b"ab", b"abc", b"abcd", "ñandú".encode(), b"x" * 24, b"x" * 25, b"\xc3", b"z" * 300]
+    rows = spark.createDataFrame([(w,) for w in words], "word binary").select("word", lm.class_of(F.col("word")).alias("k")).collect()
+    assert {bytes(r["word"]): r["k"] for r in rows} == {w: lm.word_class(w) for w in words}
+
+
+@pytest.mark.parametrize("n", [1900, 2100, 20_000])
+def test_hidden_markov_keeps_symbols_of_a_flat_vocabulary(spark, n):
+    """Words of one count, fewer than the bound, just over it and far over it: there are always about as many symbols as may be."""
+    counts = spark.range(n).select(F.concat(F.lit("w"), "id").cast("binary").alias("word"), F.lit(3).cast("long").alias("c"))
+    kept = counts.filter(lm.frequent_words(counts, 2000)).count()
+    assert kept == n if n < 2000 else 1800 < kept < 2200
+
+
+def score_of(text, model, symbols, counts, by_class):
+    """By the formula, token by token: classes of rarer words, and the scaled forward recursion without logarithms of shares."""
+    sequence, rare = symbols.of(text)
+    total, held = 0.0, model.start * model.emit[sequence[0]]
+    for x in sequence[1:]:
+        total += math.log10(held.sum())
+        held = (held / held.sum()) @ model.move * model.emit[x]
+    total += math.log10(held.sum())
+    for w in rare:
+        n, v = by_class[lm.word_class(w)]
+        total += math.log10((counts.get(w, 0) + 1) / (n + v + 1))
+    return total
+
+
+def test_hidden_markov_scores_are_the_formulas(spark, monkeypatch):
+    """The whole score, with rarer words and unknown ones, against a model trained and applied by hand."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{min(int(x), 400)}" for x in rng.zipf(1.3, rng.integers(0, 60))) for _ in range(300)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    learn = lambda i: i % 4 != 1
+    rows = {r["doc_id"]: r for r in lm.score_texts(table, F.col("doc_id") % 4 != 1, F.col("doc_id") % 4 == 1, n_symbols=40, rounds=3).collect()}
+    counts = Counter(w for i, t in enumerate(texts) if learn(i) for w in t.encode().split())
+    table_of = spark.createDataFrame(list(counts.items()), "word binary, c long")
+    own = {bytes(r["word"]) for r in table_of.filter(lm.frequent_words(table_of, 40)).collect()}
+    frequent = sorted(((w, c) for w, c in counts.items() if w in own), key=lambda r: (-r[1], r[0]))
+    by_class = defaultdict(lambda: [0, 0])
+    for w, c in counts.items():
+        if w not in own:
+            by_class[lm.word_class(w)][0] += c
+            by_class[lm.word_class(w)][1] += 1
+    symbols = lm.Symbols([w for w, _ in frequent], [c for _, c in frequent])
+    learnt = [t.encode() for i, t in enumerate(texts) if learn(i)]
+    shares = np.array([*(c for _, c in frequent), *(by_class[k][0] for k in range(lm.CLASSES)), len(learnt)]) + 0.5
+    shares = shares / shares.sum()
+    model = lm.Model.first(lm.STATES, shares, 13)
+    sequences = sorted((symbols.of(t)[0] for t in learnt), key=len, reverse=True)
+    for _ in range(3):
+        sums = np.zeros(lm.STATES), np.zeros((lm.STATES, lm.STATES)), np.zeros((symbols.size, lm.STATES))
+        lm.expected(model, sequences, sums)
+        model = lm.Model.from_counts(*sums, shares)
+    for i, t in enumerate(texts):
+        assert math.isclose(rows[i]["score"], score_of(t.encode(), model, symbols, counts, by_class), rel_tol=1e-6), t
+
+
 def test_hidden_markov_edges(docs, empty):
     assert lm.score_texts(empty, F.lit(True), F.lit(False)).count() == 0
     rows = lm.score_texts(docs, F.lit(False), F.lit(False)).collect()
