@@ -135,6 +135,34 @@ def test_near_duplicates_branch_and_chunk(spark, monkeypatch):
     check_groups(spark.createDataFrame(rows, "doc_id long, text string"), rows, chunk_bytes=3000)
 
 
+def test_near_duplicates_recall_where_nodes_branch(spark, monkeypatch, capsys):
+    """Many large nodes that branch to the last level: passages in far over SMALL documents each, with near copies among them. Recall over all similar pairs."""
+    monkeypatch.setattr(near_dup, "SMALL", 24)
+    rng = random.Random(31)
+    rows, n = [], 0
+    for g in range(6):
+        passage = [f"p{g}x{rng.randint(0, 9999)}" for _ in range(60)]
+        for i in range(90):
+            own = [f"g{g}d{i}w{k}" for k in range(rng.choice([14, 40, 120]))]
+            for _ in range(rng.choice([1, 1, 1, 2, 3])):
+                copy = passage + own
+                copy[rng.randrange(len(copy))] = f"c{n}"
+                rows.append((n, " ".join(copy)))
+                n += 1
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(table, chunk_bytes=40_000).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    holders = defaultdict(set)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].add(i)
+    pairs = [(i, j) for i, s in sets.items() for j in {k for x in s for k in holders[x]} if i < j and 100 * len(s & sets[j]) >= 75 * len(s | sets[j])]
+    recall = sum(found[i] == found[j] for i, j in pairs) / len(pairs)
+    with capsys.disabled():
+        print(f" recall {recall:.4f} of {len(pairs)} pairs", end=" ")
+    assert len(pairs) > 400 and recall >= 0.99
+
+
 def test_near_duplicates_share_only_a_hot_passage(spark):
     """A passage that far over SMALL documents hold, each similar to the passage alone: its nodes are large, the others hold one class."""
     rng = random.Random(12)
@@ -144,6 +172,20 @@ def test_near_duplicates_share_only_a_hot_passage(spark):
     check_groups(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_stars_in_many_groups_and_rests_in_chunks(spark, monkeypatch):
+    """One large group of near copies whose star is dealt into groups, with strays that only a pair away from the centre reaches."""
+    monkeypatch.setattr(near_dup, "STAR_MEMBERS", 7)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(100)]
+    rows = [(i, " ".join(f"u{i}" if k == i % 100 else w for k, w in enumerate(base))) for i in range(150)]
+    chain = list(base)
+    for i in range(150, 170):
+        for _ in range(2):
+            chain[rng.randrange(100)] = f"s{i}x{rng.randint(0, 99)}"
+        rows.append((i, " ".join(chain)))
+    check_groups(spark.createDataFrame(rows, "doc_id long, text string"), rows, chunk_bytes=9000)
+
+
 def test_one_large_group(spark):
     rng = random.Random(9)
     base = [f"v{rng.randint(0, 9999)}" for _ in range(120)]
