@@ -2,12 +2,12 @@
 
 Texts become ids (see ``encode``) with an end id; only those longer than a sequence are cut, into full pieces and a
 rest. The pieces are dealt by a stored random number into groups of a bounded number of pieces, and each group is packed
-as a stream. The packer has a fixed number of open bins, in a bitset keyed by free space: a piece goes to the bin that it
-fills best, and if none fits, a new bin opens, for which the fullest open one closes. Within a group the stream runs
-from long to short pieces, so that the short ones fill what the long ones left.
+as a stream, in the order of those numbers. The packer has a fixed number of open bins, in a bitset keyed by free space: a
+piece goes to the bin that it fills best, and if none fits, a new bin opens, for which the fullest open one closes.
 
-Null text is empty: one piece with only the end id. Repeated rows are packed each on its own. An empty table gives no
-rows.
+Null text is empty: one piece with only the end id. A very long text is many full pieces, each a bin of its own, and a
+rest. Repeated rows are packed each on its own; of bins with equal space the last one opened is taken. An empty table gives
+no rows. Extra columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from graphloom.llm.encode import Encoder
 #: Pieces of a group, about; a group is one task's work.
 GROUP_PIECES = 65_536
 #: Bins that a packer keeps open.
-OPEN_BINS = 32_768
+OPEN_BINS = 512
 
 _kept: dict = {}
 
@@ -95,8 +95,7 @@ def pack(pieces: DataFrame, capacity: int, open_bins: int = OPEN_BINS, group_pie
     groups = max(1, -(-pieces.count() // group_pieces))
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        column = {name: group.column(name).to_numpy(zero_copy_only=False) for name in ("piece", "length", "salt")}
-        order = np.lexsort((column["salt"], column["piece"], -column["length"]))
+        order = np.argsort(group.column("salt").to_numpy(zero_copy_only=False), kind="stable")
         group = group.take(pa.array(order))
         packer = BestFit(capacity, open_bins)
         placed = [packer.put(n) for n in group.column("length").to_pylist()]

@@ -106,6 +106,21 @@ def test_packing_an_empty_table(empty):
     assert packing.pack_documents(empty, common.tokenizer_path(WORDS)).count() == 0
 
 
+def test_bins_close_in_a_stream(spark):
+    """As many lengths as need far more bins than may be open: most close, and little is lost by it."""
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(1, 2049, 6000)
+    packer, most = packing.BestFit(2048, packing.OPEN_BINS // 8), 0
+    for n in lengths.tolist():
+        packer.put(n)
+        most = max(most, packer.n_open)
+    assert most == packing.OPEN_BINS // 8 and packer.opened > 20 * most
+    assert packer.opened <= 1.06 * lengths.sum() / 2048
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), 0, int(s)) for i, (n, s) in enumerate(zip(lengths, rng.permutation(6000), strict=True))], "id long, piece int, start long, length long, ids_crc32 long, salt long")
+    rows = packing.pack(pieces, 2048, open_bins=64, group_pieces=2000).collect()
+    assert {r["id"] for r in rows} == set(range(6000)) and len({r["sequence_id"] for r in rows}) <= 1.06 * lengths.sum() / 2048
+
+
 def test_best_fit_with_few_bins():
     packer = packing.BestFit(10, open_bins=2)
     assert packer.put(6) == (0, 0)
