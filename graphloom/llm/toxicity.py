@@ -8,11 +8,16 @@ so besides a weight for each term it learns a weight for each pair, as the produ
 to a group's name can count for more than both alone. The pair sum is computed in time linear in the terms.
 
 Training takes a bounded sample of the labelled rows: about ``sample_rows`` rows that come first in a seeded order, whole
-texts. Their hashed terms, not their texts, come to the driver, which fits by AdaGrad on the log loss, so that scores are
-probabilities. Labels that contradict each other for one id count as the highest; null labels are not learnt from.
+texts. Tasks hash their terms and count them by label. From the sums the driver picks the terms that the machine may use:
+those whose presence goes with the label by itself (``LEAST_G``), and those that do so in pairs, much more than either
+alone (``PAIR_G``), among the ``PAIR_TERMS`` terms that part the sample best in two. Only the picked and these terms of a
+row come to the driver, so what it holds is bounded whatever the length of texts. It fits by AdaGrad on the log loss, so
+that scores are probabilities. Labels that contradict each other for one id count as the highest; null labels are not
+learnt from.
 
 Null and empty texts have no terms; their score is that of the bias. With no labelled rows, or one class alone, scores
-are 0. Repeated rows are scored each. Only ids and texts enter a score.
+are 0. Repeated rows are scored each; an empty table gives no rows. A very long text is a set of terms like others. Only
+ids and texts enter a score; extra columns are kept, and those named like the two results are replaced.
 """
 
 from __future__ import annotations
@@ -33,8 +38,10 @@ FACTORS = 4
 #: Labelled rows that are learnt from, about; a bound on what comes to the driver.
 SAMPLE_ROWS = 12_000
 EPOCHS = 6
-#: Least likelihood-ratio statistic of a term that the machine may use.
-LEAST_G = 16.0
+#: Least likelihood-ratio statistic of a term that the machine may use for itself, and by how much a pair's must exceed those of its terms.
+LEAST_G, PAIR_G = 16.0, 40.0
+#: Terms whose pairs are looked at.
+PAIR_TERMS = 1024
 #: Letters of a word's beginnings that are terms of their own.
 STEMS = (4, 5)
 #: Words whose terms a worker remembers before it starts anew.
@@ -65,18 +72,47 @@ class Terms(dict):
         return np.sort(np.fromiter(held, np.int32, len(held)))
 
 
-def associated(rows: list[np.ndarray], labels: np.ndarray, least: float = LEAST_G) -> np.ndarray:
-    """The buckets whose presence goes with the label by a likelihood-ratio statistic of at least ``least``; others are noise that a machine would learn by heart."""
-    size = 1 << BUCKET_BITS
-    toxic, clean = (np.bincount(np.concatenate([np.zeros(0, np.int64), *[r for r, y in zip(rows, labels, strict=True) if y == k]]), minlength=size) for k in (1, 0))
-    n_toxic = labels.sum()
-    n_clean = len(labels) - n_toxic
-    share = (toxic + clean) / len(labels)
-    g = np.zeros(size)
+def statistic(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """The likelihood-ratio statistic of presence and label, from how often something is there with either label."""
+    share = (toxic + clean) / (n_toxic + n_clean)
+    g = np.zeros(share.shape)
     for seen, of in ((toxic, n_toxic), (clean, n_clean)):
         for observed, expected in ((seen, of * share), (of - seen, of * (1 - share))):
             g += 2 * np.where(observed > 0, observed * np.log(np.maximum(observed, 1) / np.maximum(expected, 1e-12)), 0)
-    return np.flatnonzero(g >= least)
+    return g
+
+
+def associated(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """The buckets whose presence goes with the label; others are, by themselves, noise that a machine would learn by heart."""
+    return np.flatnonzero(statistic(toxic, clean, n_toxic, n_clean) >= LEAST_G)
+
+
+def parting(toxic: np.ndarray, clean: np.ndarray, n_rows: int, most: int = PAIR_TERMS) -> np.ndarray:
+    """The buckets that part the rows most evenly into those with and without them, at most so many."""
+    seen = toxic + clean
+    evenness = np.minimum(seen, n_rows - seen)
+    order = np.lexsort((np.arange(len(seen)), -evenness))[:most]
+    return np.sort(order[evenness[order] > 0])
+
+
+def paired(rows: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """The buckets, of those given, with a pair whose joint presence goes with the label much more than either alone does."""
+    place = np.full(1 << BUCKET_BITS, -1, np.int32)
+    place[buckets] = np.arange(len(buckets))
+    both = np.zeros((2, len(buckets), len(buckets)))
+    for kind in (0, 1):
+        own = [rows[i] for i in np.flatnonzero(labels == kind)]
+        for at in range(0, len(own), 1000):
+            there = np.zeros((len(own[at : at + 1000]), len(buckets)), np.float32)
+            for i, r in enumerate(own[at : at + 1000]):
+                found = place[r]
+                there[i, found[found >= 0]] = 1
+            both[kind] += there.T @ there
+    n_toxic = int(labels.sum())
+    alone = statistic(np.diag(both[1]), np.diag(both[0]), n_toxic, len(labels) - n_toxic)
+    g = statistic(both[1], both[0], n_toxic, len(labels) - n_toxic)
+    i, j = np.nonzero(np.triu(g >= PAIR_G + np.maximum(alone[:, None], alone[None, :]), 1))
+    return buckets[np.union1d(i, j)]
 
 
 class Machine:
@@ -140,6 +176,36 @@ def hashed_terms(rows: DataFrame) -> DataFrame:
     return common.map_arrow(rows, run, "id long, label int, terms binary")
 
 
+def label_counts(rows: DataFrame) -> DataFrame:
+    """rows (id, label, terms) to (bucket, toxic, clean): in how many rows of either label a bucket is."""
+    out = {"bucket": pa.int32(), "toxic": pa.int64(), "clean": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+        for batch in batches:
+            for label, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                seen[label, np.frombuffer(terms, np.int32)] += 1
+        there = np.flatnonzero(seen.sum(axis=0))
+        yield common.record_batch(out, bucket=there, toxic=seen[1, there], clean=seen[0, there])
+
+    return common.map_arrow(rows, run, "bucket int, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def narrowed(rows: DataFrame, buckets: np.ndarray) -> DataFrame:
+    """rows (id, label, terms) with the given terms only."""
+    sent = rows.sparkSession.sparkContext.broadcast(buckets)
+    out = {"id": pa.int64(), "label": pa.int32(), "terms": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(1 << BUCKET_BITS, bool)
+        wanted[sent.value] = True
+        for batch in batches:
+            terms = [np.frombuffer(t, np.int32) for t in batch.column(2).to_pylist()]
+            yield common.record_batch(out, id=batch.column(0), label=batch.column(1), terms=[t[wanted[t]].tobytes() for t in terms])
+
+    return common.map_arrow(rows, run, "id long, label int, terms binary")
+
+
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> Machine | None:
     """A machine fitted on labelled rows for which may_learn (over id_col) holds; None if there are not two classes."""
     usable = labels.filter(F.col(label_col).isNotNull() & may_learn)
@@ -147,15 +213,21 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     if not total:
         return None
     # The sample's ids are as many as sample_rows, about: small enough to send to the scans.
-    chosen = usable.filter(common.hash_fraction(seed, F.col(id_col)) < min(1.0, sample_rows / total)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    chosen = usable.filter(common.hash_fraction(seed, F.col(id_col)) < min(1.0, sample_rows / total)).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    found = hashed_terms(texts.join(F.broadcast(chosen), "id").select("id", "label", "text")).collect()
-    found.sort(key=lambda r: (r["id"], bytes(r["terms"])))
-    target = np.array([r["label"] for r in found], np.float64)
-    if not len(target) or target.min() == target.max():
+    sample = common.materialize(hashed_terms(texts.join(F.broadcast(chosen), "id").select("id", "label", "text")), "terms")
+    classes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(classes) < 2:
         return None
-    rows = [np.frombuffer(bytes(r["terms"]), np.int32) for r in found]
-    return Machine(associated(rows, target)).fit(rows, target)
+    toxic, clean = np.zeros(1 << BUCKET_BITS, np.int64), np.zeros(1 << BUCKET_BITS, np.int64)
+    for r in label_counts(sample).collect():
+        toxic[r["bucket"]], clean[r["bucket"]] = r["toxic"], r["clean"]
+    by_itself = associated(toxic, clean, classes[1], classes[0])
+    looked_at = parting(toxic, clean, classes[0] + classes[1])
+    found = narrowed(sample, np.union1d(by_itself, looked_at)).collect()
+    found.sort(key=lambda r: (r["id"], bytes(r["terms"])))
+    rows, target = [np.frombuffer(bytes(r["terms"]), np.int32) for r in found], np.array([r["label"] for r in found], np.float64)
+    return Machine(np.union1d(by_itself, paired(rows, target, looked_at))).fit(rows, target)
 
 
 def score_toxicity(docs: DataFrame, model: Machine | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:

@@ -38,6 +38,23 @@ def test_toxicity_learns_pairs(toxic):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_toxicity_learns_what_only_pairs_tell(spark):
+    """Toxic if exactly one of two words is there: neither word says anything by itself."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(1600):
+        words = [f"w{k}" for k in rng.integers(0, 400, 40)]
+        a, b = bool(i & 1), bool(i & 2)
+        words += ["alpha"] * a + ["omega"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(a != b)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = toxicity.train(table, table.select("doc_id", "toxic"), common.learnable(F.col("doc_id"), 4, 2))
+    held = toxicity.score_toxicity(table, model).filter(common.held_out(F.col("doc_id"), 4, 2)).collect()
+    right = sum((r["score"] >= 0.5) == bool(r["toxic"]) for r in held) / len(held)
+    assert len(held) > 300 and right >= 0.95
+
+
 def test_toxicity_is_the_same_again(toxic):
     labels = toxic.select("doc_id", "toxic")
     a, b = (toxicity.train(toxic.repartition(n), labels, F.lit(True)) for n in (1, 5))
