@@ -32,7 +32,7 @@ def vectors(spark):
     return spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, score int, rank int").repartition(3), rows
 
 
-@pytest.mark.parametrize("limit", [1 << 24, 0])
+@pytest.mark.parametrize("limit", [1 << 24, 2500])
 def test_top_k_is_exact(vectors, limit):
     table, rows = vectors
     found = defaultdict(list)
@@ -60,10 +60,34 @@ def test_top_k_of_few(spark):
     assert topk.top_k(spark.createDataFrame([(0, [1.0])], schema), F.col("vec_id") == 0).count() == 0
 
 
+def test_bounds_prune(spark):
+    """Vectors near a few directions: most pairs go at the coarse resolutions and few are scored. Without any structure the finest one still spares some."""
+    rng = np.random.default_rng(9)
+    spread = 0.85 ** np.arange(32)
+    turned = np.linalg.qr(rng.normal(size=(32, 32)))[0]
+    for scale, most in ((spread, 0.2), (np.ones(32), 0.9)):
+        vectors = (rng.normal(size=(6000, 32)) * scale) @ turned
+        table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(2)
+        left = topk.pruning(table, F.col("vec_id") % 50 == 0)
+        assert [n for n, _ in left] == [0, 4, 16] and left[0][1] == 120 * 6000
+        pairs = [p for _, p in left]
+        assert pairs == sorted(pairs, reverse=True) and pairs[-1] <= most * pairs[0]
+
+
+def test_thresholds_count_a_row_once():
+    known = topk.Thresholds(np.array([-np.inf]), 2)
+    known.met(0, np.array([9.0, 9.0]), np.array([4, 4]))
+    assert known.floor[0] == -np.inf
+    known.met(0, np.array([9.0, 7.0]), np.array([4, 5]))
+    assert known.floor[0] == 7.0
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
-    a, b = rng.normal(size=(40, 30)), rng.normal(size=(50, 30))
-    for count in (1, 4, 7, 30):
+    turn = topk.axes(rng.normal(size=(90, 30)))
+    a, b = rng.normal(size=(40, 30)) @ turn, rng.normal(size=(50, 30)) @ turn
+    assert np.allclose(turn @ turn.T, np.eye(30))
+    for count in (1, 4, 7, 15, 30):
         bound = np.concatenate(topk.segments(a, count), axis=1) @ np.concatenate(topk.segments(b, count), axis=1).T
         assert (bound >= a @ b.T - 1e-9).all()
 
