@@ -8,7 +8,6 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +17,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS, ARROW_BYTES = 2048, 16 << 20
 
 _made: list[str] = []
+_run = uuid.uuid4().hex[:12]
+_roots: dict[str, SparkSession] = {}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -32,18 +33,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and the master is local."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
-        _made.append(at)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="graphloom-")
+        _made.append(folder)
+        at = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; it goes when the program ends."""
+    root = f"{shared_dir(spark)}/graphloom-llm-{_run}"
+    _roots[root] = spark
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -54,18 +60,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Removes what this program has written to the shared folder; frames that were materialized can then not be read any more."""
+    for root in [r for r, s in _roots.items() if s is spark]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        del _roots[root]
+
+
 @atexit.register
 def _clean() -> None:
+    for spark in set(_roots.values()):
+        try:
+            clean(spark)
+        except Exception:  # the session has ended before
+            pass
     for at in _made:
-        shutil.rmtree(local_path(at), ignore_errors=True)
-
-
-def local_path(uri: str) -> str:
-    """The POSIX path of a file: URI or plain path; other schemes need a mount of the shared folder."""
-    parsed = urlparse(uri)
-    if parsed.scheme not in ("", "file"):
-        raise ValueError(f"flat files need a shared folder that is mounted as a file system, not {uri}")
-    return unquote(parsed.path)
+        shutil.rmtree(at, ignore_errors=True)
 
 
 def split_remainder(doc_id: Column, modulus: int) -> Column:

@@ -12,7 +12,9 @@ numbers of the shorter ones, vectorised over a batch.
 
 Training takes a bounded sample of labelled rows: of each language, about ``sample_rows`` rows that come first in a seeded
 order; whole texts. Rows of null text or language are not learnt from. Null texts and those without a letter are
-``und`` with score 0. With no training rows at all, every text is ``und``. Ties go to the first language by name.
+``und`` with score 0. With no training rows at all, every text is ``und``. Ties go to the first language by name. Repeated
+rows are each scored; an empty table gives no rows; very long texts are scored in chunks, and short of that like others.
+Of extra columns those asked for are kept, and those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -124,12 +126,14 @@ class ContextTrees:
             total += self.code_lengths(data[at - back : at + CHUNK])[back:].sum(axis=0, dtype=np.float64)
         return total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float | None]:
+        """The language, its posterior, and the bits that a byte of the text takes in it."""
         if not text or not self.langs or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
-        bits = self.bits(text.encode())
+            return UNDETERMINED, 0.0, None
+        data = text.encode()
+        bits = self.bits(data)
         best = int(bits.argmin())
-        return self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
+        return self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()), float(bits[best] / len(data))
 
 
 def train(docs: DataFrame, may_learn: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, sample_rows: int = SAMPLE_ROWS, seed: int = 5) -> tuple:
@@ -152,18 +156,19 @@ def train(docs: DataFrame, may_learn: Column, lang_col: str = "lang", id_col: st
     return langs, counts, order
 
 
-def identify(docs: DataFrame, model: tuple, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """The columns in keep, and lang_pred and score of every whole text, which replace columns of these names. A narrow map."""
+def identify(docs: DataFrame, model: tuple, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), pred_col: str = "lang_pred", score_col: str = "score", bits_col: str | None = None) -> DataFrame:
+    """The columns in keep, and lang_pred and score of every whole text, which replace columns of these names; with bits_col, also the bits of a byte. A narrow map."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     mark = common.mark()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = common.worker_cache(_kept, mark, lambda: ContextTrees(*sent.value) if sent.value[0] else None)
         for batch in common.pieces(batches):
-            found = [trees.predict(t) if trees else (UNDETERMINED, 0.0) for t in batch.column(0).to_pylist()]
-            made = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*batch.schema.names[1:], pred_col, score_col])
+            found = [trees.predict(t) if trees else (UNDETERMINED, 0.0, None) for t in batch.column(0).to_pylist()]
+            made = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made[: len(names)]], names=[*batch.schema.names[1:], *names])
 
-    rows = docs.select(F.col(text_col).alias("__text_to_score"), *[c for c in keep if c not in (pred_col, score_col)])
+    names = [pred_col, score_col] + ([bits_col] if bits_col else [])
+    rows = docs.select(F.col(text_col).alias("__text_to_score"), *[c for c in keep if c not in names])
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[1:])
-    return common.map_arrow(rows, run, f"{schema}, `{pred_col}` string, `{score_col}` double")
+    return common.map_arrow(rows, run, f"{schema}, " + ", ".join(f"`{n}` {t}" for n, t in zip(names, ("string", "double", "double"), strict=False)))

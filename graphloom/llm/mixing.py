@@ -12,7 +12,8 @@ repetition to a whole document or none, whichever is nearer, for those who write
 prefix sums of seeded buckets, then of documents within a bucket, so a source with most rows is spread over many tasks.
 
 Null text has size 0 and is never taken; null sources are one source, after all others; sources of size 0 have target
-0. Repeated rows each count. An empty table gives no rows. Reruns agree: the order depends on seed, id and text alone.
+0. Repeated rows each count. An empty table gives no rows. Reruns agree: the order depends on seed, id and text alone. A very
+long text is one document, which the quota may take in part. Extra columns play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ vocabulary string need not be merged if that string, encoded alone, is known to
 once, on the driver, for the whole vocabulary (``prove``); tasks then count such pre-tokens directly and merge only the
 rest, remembering the counts of those that come back.
 
-Null text counts as empty: 0 bytes, 0 tokens. Repeated rows are each counted. Columns other than ``id_col`` and
+Null text counts as empty: 0 bytes, 0 tokens. Repeated rows are each counted; an empty table gives no rows. A very long text is
+cut and counted whole, like others. Columns other than ``id_col`` and
 ``text_col`` play no part. A tokenizer that this rule does not hold for is used as it is.
 """
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import media
+from graphloom.llm import media, near_dup
 
 
 def png(width=3, height=2):
@@ -145,8 +145,9 @@ def test_stages_keep_columns_and_run_agrees(spark, folder, docs):
         assert after.columns == columns, name
         after = after.cache()
         if name == "near_duplicates":
-            named = after.filter("doc_id is not null")
-            assert named.count() == named.select("doc_id").distinct().count()
+            assert after.filter("doc_id is null").count() == rows.filter("doc_id is null").count()
+            again = near_dup.near_duplicates(after).filter("doc_id is not null and n_shingles > 0")
+            assert again.count() == again.select("component_id").distinct().count()
         if name != "mixing":
             assert after.exceptAll(rows).count() == 0
         rows = after
@@ -156,6 +157,36 @@ def test_stages_keep_columns_and_run_agrees(spark, folder, docs):
     assert sorted(map(str, packed.select(*key).collect())) == sorted(map(str, again.select(*key).collect()))
 
 
+def test_near_duplicates_go_row_by_row(spark):
+    """Of rows that share an id each goes by its own text; the choice does not hang on the order of rows, and columns may be named like the stage's own."""
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(base[:59] + ["x"])
+    rows = [(1, " ".join(base), "b", 1), (1, "quite another text that nobody else has here", "a", 2), (2, near, "a", 3), (2, "and one more text that is alone in the world", "a", 4), (3, near, "c", 5), (None, near, "d", 6), (4, None, "e", 7), (5, " ".join(base), "f", 8), (6, "a b c d e f", "z", 9), (6, "A  B c d e f", "y", 10)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, __digest int")
+    expected = {1, 2, 4, 6, 7, 10}
+    for parts in (1, 4):
+        kept = corpus_pipeline.drop_near_duplicates(spark, table.repartition(parts), "")
+        assert kept.columns == table.columns
+        found = {r["__digest"] for r in kept.collect()}
+        assert len(found & {9, 10}) == 1 and found - {9, 10} == expected - {10}
+
+
+def test_stages_with_columns_of_their_names(spark, folder):
+    rows = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["__toxicity", "__toxic", "__language", "__posterior", "__bits", "__key", "__own", "__of", "__copies", "__times", "__rows", "__order", "order", "copies", "digest"]
+    more = rows.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after, plain = stage(spark, more, folder), stage(spark, rows, folder)
+        assert after.columns == more.columns, name
+        assert sorted(map(str, after.select("doc_id", "text").collect())) == sorted(map(str, plain.select("doc_id", "text").collect())), name
+
+
+def test_languages_that_were_not_learnt(spark):
+    texts = [(i, "the quick brown fox and the lazy dog went on " * 4, "en", "a") for i in range(30)] + [(100, "Быстрая лиса перепрыгнула через ленивую собаку " * 4, None, "a"), (101, "1234", "en", "a"), (102, None, "en", "a")]
+    table = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"] for r in corpus_pipeline.keep_known_languages(spark, table, "").collect()} == set(range(30))
+
+
 def test_stages_on_nothing(spark, folder, empty):
     rows = empty
     for _, stage in corpus_pipeline.STAGES:
