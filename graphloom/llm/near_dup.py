@@ -139,9 +139,9 @@ def _value(position: Column) -> Column:
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """Members of nodes of two and more, with the node's size and first member. Sums by node are joined back, so that the rows of a large node need not come into one task."""
+    """Members of nodes of two and more, with the node's size and first member. Sums by node are stored and joined back: Spark can then split the rows of a large node among tasks."""
     sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("class").alias("first")).filter("size > 1")
-    return rows.join(sizes, "node")
+    return rows.join(common.materialize(sizes, "sizes"), "node")
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
