@@ -114,11 +114,6 @@ class Merges:
         return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def id_type(path: str) -> np.dtype:
-    """Two bytes an id if the vocabulary allows, little-endian."""
-    return np.dtype("<u2" if common.load_tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-
-
 class Encoder(dict):
     """encode(): the ids of each text, as little-endian bytes of ``dtype``: two bytes an id if the vocabulary allows."""
 

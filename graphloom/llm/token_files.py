@@ -1,7 +1,7 @@
 """Token ids as flat binary files.
 
-Texts become ids where they lie; the ids, not the texts, are range-partitioned by document id, so that files in part order
-hold them in ascending order. Each part is flat little-endian files in the shared folder: ``ids`` (unsigned 16 bits, or 32
+Documents are range-partitioned by id, so that files in part order hold them in ascending order, and become ids there: texts
+as Spark compresses them are smaller than the same texts' ids, so it is texts that travel. Each part is flat little-endian files in the shared folder: ``ids`` (unsigned 16 bits, or 32
 where the vocabulary needs them), ``offsets`` (unsigned 64 bits, one more than documents, from 0 within the part) and
 ``docs`` (signed 64-bit document ids, with a byte map of null ids in ``nulls``). A part's base in the whole sequence is the
 prefix sum of the parts before it. Readers memory-map the files, or a copy of them where the folder is in an object store
@@ -9,7 +9,7 @@ or a distributed file system.
 
 A task writes under a name of its own attempt and renames when done: a part that is computed again is the same and
 replaces itself. Null text is empty: only the end id. A very long text is a long row like others. Rows that share an id are
-all kept, ordered by their ids' bytes. An empty table gives no rows. Extra columns play no part, whatever their names.
+all kept, ordered by text. An empty table gives no rows. Extra columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import common
-from graphloom.llm.encode import Encoder, id_type
+from graphloom.llm.encode import Encoder
 
 _kept: dict = {}
 #: A part's files.
@@ -74,26 +74,19 @@ class PartWriter:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Writes the files; returns a row per part in order: part, n_docs, n_tokens, base, dtype. As many rows as partitions."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = common.worker_cache(_kept, tokenizer, lambda: Encoder(tokenizer))
-        for batch in common.pieces(batches):
-            yield common.record_batch({"id": pa.int64(), "ids": pa.binary()}, id=batch.column(0), ids=encoder.encode_all(common.column_bytes(batch.column(1))))
-
-    encoded = common.materialize(common.map_arrow(rows, encode, "id long, ids binary"), "ids")
-    ordered = encoded.repartitionByRange("id").sortWithinPartitions("id", "ids")
+    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     out = {"part": pa.int32(), "n_docs": pa.int64(), "n_tokens": pa.int64(), "dtype": pa.string()}
-    dtype = id_type(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = common.worker_cache(_kept, tokenizer, lambda: Encoder(tokenizer))
         writer = None
         for batch in common.pieces(batches):
             if batch.num_rows:
-                writer = writer or PartWriter(folder, TaskContext.get().partitionId(), dtype, end_id)
-                writer.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                writer = writer or PartWriter(folder, TaskContext.get().partitionId(), encoder.dtype, end_id)
+                writer.add(batch.column(0).to_pylist(), encoder.encode_all(common.column_bytes(batch.column(1))))
         if writer:
             writer.close()
-            yield common.record_batch(out, part=[writer.part], n_docs=[writer.rows], n_tokens=[writer.total], dtype=[dtype.str])
+            yield common.record_batch(out, part=[writer.part], n_docs=[writer.rows], n_tokens=[writer.total], dtype=[encoder.dtype.str])
 
     found = common.map_arrow(ordered, run, "part int, n_docs long, n_tokens long, dtype string")
     parts = sorted((r.asDict() for r in common.materialize(found, "parts").collect()), key=lambda r: r["part"])
