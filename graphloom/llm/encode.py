@@ -35,11 +35,9 @@ def runs_apart(path: str) -> bool:
 
 #: Bytes of a run that is merged side by side with others, and how many are.
 LONGEST, TOGETHER = 48, 4096
-#: ASCII letters in lower case, and letters of one further Latin block, which are two bytes and of which none is a mark.
-_letters = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
-
-#: Such letters, then ASCII marks other than the apostrophe: the marks are a token run of their own.
-_marked = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+#: A run by line: ASCII letters in lower case, and letters of one further Latin block, which are two bytes and of which none
+#: is a mark; behind them ASCII marks other than the apostrophe, which are a token run of their own. Or anything else.
+_lines = re.compile(rb"(?m)^(?:((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)|(.+))$").findall
 
 
 def byte_characters() -> list[str]:
@@ -132,17 +130,15 @@ class Encoder(dict):
 
     def learn(self, runs: set[bytes]) -> None:
         """Remembers the ids of runs."""
-        words: list[bytes] = []
-        split: list[tuple[bytes, bytes, bytes]] = []
-        for r in runs:
-            if self.merges is not None and len(r) <= LONGEST:
-                if _letters(r):
-                    words.append(r)
-                    continue
-                if found := _marked(r):
-                    split.append((r, *found.groups()))
-                    continue
-            self[r] = self.ask(r.decode())
+        # Runs hold no line ends, so one search parts them all.
+        found = _lines(b"\n".join(runs))
+        usable = self.merges is not None
+        words = [w for w, m, _ in found if w and not m and usable and len(w) <= LONGEST]
+        split = [(w + m, w, m) for w, m, _ in found if m and usable and len(w) + len(m) <= LONGEST]
+        for w, m, other in found:
+            if other or not usable or len(w) + len(m) > LONGEST:
+                run = other or w + m
+                self[run] = self.ask(run.decode())
         words += {w for _, w, _ in split if w not in self}.difference(words)
         # Capitals of the Latin block become small letters, as the tokenizer has them.
         small = [w if w.isascii() else w.decode().lower().encode() for w in words]
