@@ -20,6 +20,8 @@ from graphloom.llm import common
 
 #: Runs that a worker remembers before it starts anew.
 REMEMBERED = 600_000
+#: Texts that are encoded together: the more new runs at once, the fewer steps their merges take.
+ENCODED_ROWS = 1024
 
 
 def runs_apart(path: str) -> bool:

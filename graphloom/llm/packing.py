@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import common
-from graphloom.llm.encode import Encoder
+from graphloom.llm.encode import ENCODED_ROWS, Encoder
 
 #: Pieces of a group, about; a group is one task's work.
 GROUP_PIECES = 65_536
@@ -78,7 +78,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
         encoder = common.worker_cache(_kept, tokenizer, lambda: Encoder(tokenizer))
         end = np.array([end_id], encoder.dtype).tobytes()
         random = np.random.default_rng(TaskContext.get().partitionId())
-        for batch in common.pieces(batches):
+        for batch in common.pieces(batches, ENCODED_ROWS):
             rows = []
             for doc_id, found in zip(batch.column(0).to_pylist(), encoder.encode_all(common.column_bytes(batch.column(1))), strict=True):
                 ids = np.frombuffer(found + end, encoder.dtype).astype("<u4")

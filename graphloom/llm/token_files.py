@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import common
-from graphloom.llm.encode import Encoder
+from graphloom.llm.encode import ENCODED_ROWS, Encoder
 
 _kept: dict = {}
 #: A part's files.
@@ -80,7 +80,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = common.worker_cache(_kept, tokenizer, lambda: Encoder(tokenizer))
         writer = None
-        for batch in common.pieces(batches):
+        for batch in common.pieces(batches, ENCODED_ROWS):
             if batch.num_rows:
                 writer = writer or PartWriter(folder, TaskContext.get().partitionId(), encoder.dtype, end_id)
                 writer.add(batch.column(0).to_pylist(), encoder.encode_all(common.column_bytes(batch.column(1))))
