@@ -1,7 +1,8 @@
 """Whole texts to token ids with the tokenizers library, for tokenizers that drop white space.
 
 Where a tokenizer treats every white-space-free run of a text by itself, a run's ids do not depend on what stands around
-it, so a worker asks the library once for each run and remembers the answer. Where that does not hold, the library gets
+it, so a worker asks the library once for each run and remembers the answer. Of many texts together, the distinct runs are
+found by one sort, each is looked up once, and ids are gathered by their places. Where that does not hold, the library gets
 the whole text.
 
 Runs that are plain letters, which most new ones are, are not put to the library one by one: their merges are made for
@@ -12,7 +13,8 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import chain
+from collections.abc import Iterable
+from itertools import pairwise
 
 import numpy as np
 
@@ -22,6 +24,13 @@ from graphloom.llm import common
 REMEMBERED = 600_000
 #: Texts that are encoded together: the more new runs at once, the fewer steps their merges take.
 ENCODED_ROWS = 1024
+#: Runs whose distinct ones are sought by one sort: memory does not grow with a text beyond its places.
+RUNS_TOGETHER = 1 << 20
+#: Space behind the last run, so that eight bytes can be read from any place of 16.
+PADDING = b" " * 24
+#: Masks that keep the first 0 to 8 bytes; odd factors of a hash.
+BYTES_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def runs_apart(path: str) -> bool:
@@ -130,41 +139,102 @@ class Encoder(dict):
     def ask(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def learn(self, runs: set[bytes]) -> None:
+    def learn(self, runs: Iterable[bytes]) -> None:
         """Remembers the ids of runs."""
         # Runs hold no line ends, so one search parts them all.
-        found = _lines(b"\n".join(runs))
-        usable = self.merges is not None
-        words = [w for w, m, _ in found if w and not m and usable and len(w) <= LONGEST]
-        split = [(w + m, w, m) for w, m, _ in found if m and usable and len(w) + len(m) <= LONGEST]
-        for w, m, other in found:
+        words, split, usable = [], [], self.merges is not None
+        for w, m, other in _lines(b"\n".join(runs)):
             if other or not usable or len(w) + len(m) > LONGEST:
                 run = other or w + m
                 self[run] = self.ask(run.decode())
-        words += {w for _, w, _ in split if w not in self}.difference(words)
+            elif m:
+                split.append((w, m))
+            else:
+                words.append(w)
+        words += {w for w, _ in split if w not in self}.difference(words)
         # Capitals of the Latin block become small letters, as the tokenizer has them.
         small = [w if w.isascii() else w.decode().lower().encode() for w in words]
-        order = np.argsort([len(w) for w in small], kind="stable").tolist()
+        order = np.argsort(np.fromiter(map(len, small), np.int64, len(small)), kind="stable").tolist()
         for at in range(0, len(order), TOGETHER):
             part = order[at : at + TOGETHER]
             self.update(zip([words[i] for i in part], self.merges.encode([small[i] for i in part], self.dtype), strict=True))
-        for mark in {m for _, _, m in split if m not in self}:
+        for mark in {m for _, m in split if m not in self}:
             self[mark] = self.ask(mark.decode())
-        for r, w, m in split:
-            self[r] = self[w] + self[m]
+        for w, m in split:
+            self[w + m] = self[w] + self[m]
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         if not self.apart:
             return [self.ask(t.decode()) for t in texts]
         # Lower case comes first, but for texts that may hold a special string in capitals, which lower case would make special.
-        runs = [t.split() if b"<|" in t else t.lower().split() for t in texts]
-        new = set(chain.from_iterable(runs)).difference(self)
+        lowered = [t if b"<|" in t else t.lower() for t in texts]
+        blob = b" ".join(lowered) + PADDING
+        starts, ends = run_bounds(blob)
+        found = [self.encode_runs(blob, starts[at : at + RUNS_TOGETHER], ends[at : at + RUNS_TOGETHER]) for at in range(0, len(starts), RUNS_TOGETHER)]
+        flat = b"".join(ids.tobytes() for ids, _ in found)
+        # Ids before each run, and runs before each text, give where a text's ids end.
+        before = np.concatenate([[0], *(counts for _, counts in found)]).cumsum() * self.dtype.itemsize
+        texts_end = np.cumsum([len(t) + 1 for t in lowered], dtype=np.int64)
+        cuts = [0, *before[np.searchsorted(starts, texts_end)].tolist()]
+        return [flat[a:b] for a, b in pairwise(cuts)]
+
+    def encode_runs(self, blob: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all these runs of blob, and how many each run has. Every distinct run is looked up once."""
+        first, kind = distinct_runs(blob, starts, ends)
+        runs = [blob[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        new = [r for r in runs if r not in self]
         if new:
             if len(self) + len(new) > REMEMBERED:
                 self.clear()
-                new = set(chain.from_iterable(runs))
+                new = runs
             self.learn(new)
-        return [b"".join(map(self.__getitem__, r)) for r in runs]
+        known = [self[r] for r in runs]
+        flat = np.frombuffer(b"".join(known), self.dtype)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        counts = sizes[kind]
+        shift = (np.cumsum(sizes) - sizes)[kind] - (np.cumsum(counts) - counts)
+        return flat[np.repeat(shift, counts) + np.arange(counts.sum())], counts
 
     def encode(self, text: bytes) -> bytes:
         return self.encode_all([text])[0]
+
+
+def run_bounds(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of bytes other than space and 0x09-0x0D start and end; blob ends with space."""
+    data = np.frombuffer(blob, np.uint8)
+    inside = np.concatenate([[False], (data != 32) & ((data < 9) | (data > 13))])
+    bounds = np.flatnonzero(inside[1:] != inside[:-1])
+    return bounds[::2], bounds[1::2]
+
+
+def distinct_runs(blob: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each distinct run the index of one of its places, and for each place the number of its distinct run.
+
+    Runs of 16 bytes and less are two integers and a length. They are sorted by a hash of these, and neighbours of one hash
+    are compared in full; where two differ, and for longer runs, a dictionary decides.
+    """
+    lengths = ends - starts
+    short = np.flatnonzero(lengths <= 16)
+    at, size = starts[short], lengths[short]
+    eights = np.ndarray((len(blob) - 7,), "<u8", blob, strides=(1,))
+    low = eights[at] & BYTES_KEPT[np.minimum(size, 8)]
+    high = eights[at + 8] & BYTES_KEPT[np.maximum(size - 8, 0)]
+    mixed = (low * MIX[0]) ^ (high * MIX[1]) ^ (size.astype(np.uint64) * MIX[2])
+    order = np.argsort(mixed ^ (mixed >> np.uint64(29)))
+    low, high, size, mixed = low[order], high[order], size[order], mixed[order]
+    same = mixed[1:] == mixed[:-1]
+    if not ((low[1:] == low[:-1]) & (high[1:] == high[:-1]) & (size[1:] == size[:-1]))[same].all():
+        short = order = short[:0]
+        same = np.zeros(0, bool)
+    leads = np.concatenate([np.ones(min(1, len(order)), bool), ~same])
+    first = short[order[leads]]
+    kind = np.empty(len(starts), np.int64)
+    kind[short[order]] = np.cumsum(leads) - 1
+    longer = np.flatnonzero(lengths > 16) if len(short) else np.arange(len(starts))
+    if len(longer):
+        numbers: dict[bytes, int] = {}
+        places = zip(starts[longer].tolist(), ends[longer].tolist(), strict=True)
+        which = np.array([numbers.setdefault(blob[a:b], len(numbers)) for a, b in places])
+        kind[longer] = which + len(first)
+        first = np.concatenate([first, longer[np.unique(which, return_index=True)[1]]])
+    return first, kind

@@ -1,10 +1,11 @@
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from graphloom.llm import common, packing, token_count, token_files
+from graphloom.llm import common, encode, packing, token_count, token_files
 from graphloom.llm.encode import Encoder
 
 BYTES, WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -131,3 +132,15 @@ def test_best_fit_with_few_bins():
     assert packer.put(4) == (0, 6)
     assert packer.put(2) == (2, 5)
     assert packer.n_open == 1
+
+
+def test_encoder_sorts_runs_apart_at_sixteen_bytes_and_when_hashes_meet(monkeypatch):
+    rng = random.Random(11)
+    texts = [b"", b" ", b"a\0", b"a", b"a\0\0 a a\0", b"x" * 16, b"x" * 17, b"x" * 15 + b"\0", b"<|endoftext|> A", b"<|ENDOFTEXT|>"]
+    texts += ["".join(rng.choices("abAB \t\n\0é'.中", k=rng.choice([3, 9, 40, 200]))).encode() for _ in range(600)]
+    for factors in (encode.MIX, np.zeros(3, np.uint64)):
+        monkeypatch.setattr(encode, "MIX", factors)
+        monkeypatch.setattr(encode, "RUNS_TOGETHER", 500)
+        encoder = encode.Encoder(common.tokenizer_path("word_bpe_49k.json"))
+        assert encoder.encode_all(texts) == [encoder.ask(t.decode()) for t in texts]
+        assert encoder.encode_all([]) == []
