@@ -69,6 +69,35 @@ def test_tiers(known, spark):
     assert asked["n3"] == "asked"
 
 
+def rows_of_joins(frame):
+    """The most rows that a join of an executed plan gave."""
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        here = node.metrics().apply("numOutputRows").value() if "Join" in name else 0
+        children = node.children()
+        return max([here, *(walk(children.apply(i)) for i in range(children.size()))])
+
+    return walk(frame._jdf.queryExecution().executedPlan())
+
+
+def test_exact_matches_of_a_name_that_many_share(spark):
+    kind = F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, " Tool").otherwise("part")
+    known = spark.range(1, 3001).select(F.lit("k").alias("kb_id"), F.format_string("%05d", "id").alias("id"), F.lit("Red  bolt").alias("name"), kind.alias("type"))
+    new = known.withColumns({"name": F.lit("red bolt "), "type": F.when(F.col("type") == "part", None).otherwise(F.col("type"))})
+    found = resolve.exact_matches(new, known)
+    rows = {r["new_id"]: r["entity_id"] for r in found.collect()}
+    # tool: the first that is a tool or says nothing; none: the first of all.
+    assert len(rows) == 3000 and set(rows.values()) == {"00001"}
+    assert rows_of_joins(found) <= 6000
+    others = resolve.exact_matches(new.filter("type = ' Tool'"), known.filter("type <> ' Tool'"))
+    assert {r["entity_id"] for r in others.collect()} == {"00003"}
+
+
 def test_embedders(spark):
     e = providers.HashEmbedder(16)
     assert e.embed(["alice"]) == e.embed(["alice"]) and e.embed([""])[0] == [0] * 16
