@@ -1,5 +1,7 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -58,6 +60,16 @@ def test_jaro_winkler():
     assert tx.jaro_winkler_similarity("alice johnsn", "alice johnson") >= 0.85
 
 
+def test_jaro_winkler_of_many_and_its_bound():
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcd\u00e9\U0001f600") for _ in range(rng.choice([0, 1, 2, 4, 7, 12, 18, 80]))) for _ in range(60)]
+    i, j = np.repeat(np.arange(60), 60), np.tile(np.arange(60), 60)
+    found = tx.jaro_winkler_pairs(names, names, i, j)
+    assert found.tolist() == [tx.jaro_winkler_similarity(names[x], names[y]) for x, y in zip(i, j, strict=True)]
+    shapes = [n[:4] + "".join(sorted(n)) for n in names]
+    assert (tx.similarity_bounds(shapes, shapes)[i, j] >= found - 1e-12).all()
+
+
 def test_jaro_winkler_of_columns(spark):
     rows = spark.createDataFrame([("dixon", "dicksonx"), (None, "a")], "a string, b string").select(tx.jaro_winkler("a", "b").alias("s")).collect()
     assert rows[0]["s"] == pytest.approx(0.8133, abs=1e-4) and rows[1]["s"] is None

@@ -1,10 +1,13 @@
 import json
 import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.engine import Engine
+from graphloom.functions import text as tx
 from graphloom.operators import extract, ingest, providers, resolve
 from graphloom.schema import TABLES
 from graphloom.sources import connectors, sinks
@@ -98,6 +101,27 @@ def test_exact_matches_of_a_name_that_many_share(spark):
     assert {r["entity_id"] for r in others.collect()} == {"00003"}
 
 
+@pytest.mark.parametrize("least", [0.0, 0.6, 0.85])
+def test_best_similar_is_exact_without_all_pairs(spark, least):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcde\u00e9\U0001f600 #") for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 9, 14])))
+    names = [word() for _ in range(150)] + [f"Part#{rng.randrange(2000):05d}" for _ in range(250)] + ["ab" * 50, "ab" * 49 + "c", None]
+    rows = lambda mark, n: [(f"{mark}{i}", rng.choice("kl"), rng.choice(names) if i % 2 else f"Part {rng.randrange(2000):05d}", rng.choice(["x", "y", "", None]), "") for i in range(n)]
+    schema = "id string, kb_id string, name string, type string, summary string"
+    new, known = rows("n", 120), rows("e", 500)
+    norm = lambda s: re.sub(" +", " ", s.lower()).strip(" ")
+    agree = lambda a, b: not a or not b or a == b
+    expected = {}
+    for i, kb, name, kind, _ in new:
+        found = [(-round(tx.jaro_winkler_similarity(norm(name), norm(e[2])), 9), e[0], e[3]) for e in known if e[1] == kb and e[2] is not None] if name is not None else []
+        if found and -min(found)[0] >= least:
+            s, e, other = min(found, key=lambda x: x[:2])
+            expected[i] = (e, -s, agree(kind, other))
+    found = resolve.best_similar(spark.createDataFrame(new, schema), spark.createDataFrame(known, schema), least)
+    assert {r["new_id"]: (r["entity_id"], r["similarity"], r["types_agree"]) for r in found.collect()} == expected
+    assert rows_of_joins(found) <= len(new)
+
+
 def test_embedders(spark):
     e = providers.HashEmbedder(16)
     assert e.embed(["alice"]) == e.embed(["alice"]) and e.embed([""])[0] == [0] * 16
