@@ -122,6 +122,14 @@ def test_best_similar_is_exact_without_all_pairs(spark, least):
     assert rows_of_joins(found) <= len(new)
 
 
+def test_resolve_of_names_that_many_share(spark):
+    known = spark.range(2000).select(F.format_string("%05d", "id").alias("id"), F.lit("k").alias("kb_id"), F.lit("red bolt").alias("name"), F.lit("part").alias("type"), F.lit("").alias("summary"))
+    new = known.withColumn("name", F.when(F.col("id") < "01000", "Red Bolt").otherwise("red  bold"))
+    found = resolve.resolve(new, known, lambda a, b: False)
+    assert {(r["entity_id"], r["tier"], r["n"]) for r in found.groupBy("entity_id", "tier").agg(F.count("*").alias("n")).collect()} == {("00000", "exact", 1000), ("00000", "fuzzy", 1000)}
+    assert rows_of_joins(found) <= 4000
+
+
 def test_embedders(spark):
     e = providers.HashEmbedder(16)
     assert e.embed(["alice"]) == e.embed(["alice"]) and e.embed([""])[0] == [0] * 16
