@@ -130,6 +130,19 @@ def test_resolve_of_names_that_many_share(spark):
     assert rows_of_joins(found) <= 4000
 
 
+def test_mentions_are_matched_in_a_stream_of_texts(spark):
+    """Each text by itself, in the order of its positions, however many texts a task has; no call for each text."""
+    rows = [(kb, f"t{t % 40}", p, n, k, "") for kb in ("k", None) for t in range(40) for p, n, k in ((2, "ann  lee", ""), (0, "Ann Lee", "person"), (1, "Ann Leee", "person"), (3, "Bob" if t % 2 else "ann lee", "tool"), (4, None, None))]
+    mentions = spark.createDataFrame(rows, "kb_id string, text_id string, position int, name string, type string, summary string")
+    keyed = resolve.resolve_in_batch(mentions)
+    found = {(r["kb_id"], r["text_id"], r["position"]): r["entity_key"] for r in keyed.collect()}
+    assert keyed.columns == [*mentions.columns, "entity_key"] and len(found) == len(rows)
+    for kb, text, position, name, *_ in rows:
+        last = "bob|tool" if name == "Bob" else "ann lee|tool"
+        assert found[kb, text, position] == {3: last, 4: "|"}.get(position, "ann lee|person")
+    assert "FlatMapGroups" not in keyed._jdf.queryExecution().toString()
+
+
 def test_embedders(spark):
     e = providers.HashEmbedder(16)
     assert e.embed(["alice"]) == e.embed(["alice"]) and e.embed([""])[0] == [0] * 16
