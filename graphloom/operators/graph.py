@@ -10,17 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators import link_blocks
 from graphloom.operators.scans import active
-from graphloom.sources.shared import cut, cut_by
+from graphloom.sources.shared import cut
 
 MAX_HOPS = 10
 #: Fixed values of personalized PageRank.
 ALPHA, ROUNDS, EPSILON = 0.15, 20, 1e-6
-#: Links of a source that stay together.
-HUB_LINKS = 1_000_000
 
 
 #: Seeds of a traversal: a short list of ids, or a table with a column node.
@@ -115,34 +114,15 @@ def counts(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, seeds: Seeds, alpha: float = ALPHA, rounds: int = ROUNDS, epsilon: float = EPSILON) -> DataFrame:
     """(node, rank) by personalized PageRank: undirected, without weights, from 1/n each.
 
-    It stops after the first round in which no rank changes by epsilon. Links are written once, in buckets by source; a
-    round shuffles ranks and sums, never links. The links of a source with more than ``HUB_LINKS`` are spread over several
-    buckets. Seeds outside the graph keep their share of the jump to themselves. No seeds give no rows.
+    It stops after the first round in which no rank changes by epsilon. Links are written once, as blocks of numbers; a round
+    moves ranks and sums, never links, and the links of a node lie in many blocks. Seeds outside the graph keep their share
+    of the jump to themselves. No seeds give no rows.
     """
     spark = edges.sparkSession
-    wanted = cut(seeds_table(spark, seeds), "seeds")
-    n_seeds = wanted.count()
-    counted = cut(both_ways(edges).groupBy("src", "dst").agg(F.count("*").alias("times")), "counted")
-    about = counted.groupBy(F.col("src").alias("node")).agg(F.sum("times").alias("degree"), F.ceil(F.count("*") / F.lit(HUB_LINKS)).cast("int").alias("parts"))
-    about = about.join(wanted.withColumn("seed", F.lit(1.0 / max(1, n_seeds))), "node", "left").fillna(0.0, ["seed"])
-    state = cut(about, "nodes")
-    n = state.count()
-    if not n_seeds or not n:
-        return state.select("node", F.lit(0.0).alias("rank")).limit(0)
-    hubs = state.filter("parts > 1").select(F.col("node").alias("src"), "parts")
-    spread = counted.join(hubs, "src", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"), F.lit(0)))
-    links = cut_by(spread.select("src", "part", "dst", "times"), ("src", "part"), "links")
-    state = state.withColumn("rank", F.lit(1.0 / n))
-    for _ in range(rounds):
-        gives = state.select(F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), (F.col("rank") / F.col("degree")).alias("gift"))
-        given = links.join(gives, ["src", "part"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("gift") * F.col("times")).alias("given"))
-        rank = alpha * F.col("seed") + (1 - alpha) * F.coalesce("given", F.lit(0.0))
-        watch = Observation()
-        moved = state.join(given, "node", "left").withColumn("new", rank).observe(watch, F.max(F.abs(F.col("new") - F.col("rank"))).alias("change"))
-        state = cut(moved.select("node", "degree", "parts", "seed", F.col("new").alias("rank")), "ranks")
-        if watch.get["change"] < epsilon:
-            break
-    return state.select("node", "rank")
+    wanted = [r["node"] for r in seeds_table(spark, seeds).collect()]
+    if not wanted:
+        return spark.createDataFrame([], "node string, rank double")
+    return link_blocks.pagerank(edges, [s for s in wanted if s is not None], len(wanted), alpha, rounds, epsilon)
 
 
 def subgraph(edges: DataFrame, seeds: Seeds, hops: int, types: Sequence[str] = (), at: Column | None = None) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph
+from graphloom.operators import graph, link_blocks
 
 SCHEMA = "id string, kb_id string, source_id string, target_id string, type string, weight double, valid_at timestamp, invalid_at timestamp"
 
@@ -56,6 +56,44 @@ def test_pagerank(edges):
     assert graph.pagerank(edges(("a", "b")), []).count() == 0
 
 
+def slow_ranks(pairs, seeds, rounds):
+    nodes = {n for p in pairs for n in p}
+    ranks = dict.fromkeys(nodes, 1 / len(nodes))
+    links = pairs + [(b, a) for a, b in pairs]
+    for _ in range(rounds):
+        given = dict.fromkeys(nodes, 0.0)
+        for a, b in links:
+            if a and b:
+                given[b] += ranks[a] / sum(x == a for x, _ in links)
+        ranks = {n: 0.15 * (n in seeds) / len(seeds) + 0.85 * given[n] for n in nodes}
+    return ranks
+
+
+ODD = [("h", f"n{i}") for i in range(30)] + [("a", "b"), ("a", "b"), ("b", "a"), ("a", "a"), ("n3", "n4"), (None, "a"), ("b", None)]
+
+
+def test_pagerank_over_blocks(edges):
+    e = edges(*ODD)
+    assert sum(link_blocks.link_blocks(e).blocks.values()) == len(ODD)
+    # Rows that are there twice count once.
+    found = {r["node"]: r["rank"] for r in graph.pagerank(e.unionByName(e.limit(5)), ["h", "a", "x"], rounds=6, epsilon=0).collect()}
+    assert found == pytest.approx(slow_ranks(ODD, ["h", "a", "x"], 6), abs=1e-12)
+
+
+@pytest.mark.parametrize("clashing", ["source_id target_id", "source_id target_id id"])
+def test_pagerank_with_equal_hashes(edges, monkeypatch, clashing):
+    real, calls = F.xxhash64, []
+
+    def first_time_equal(salt, column):
+        calls.append(column)
+        return F.lit(7).cast("long") if len(calls) < 5 and any(f"'{c}'" in str(column) for c in clashing.split()) else real(salt, column)
+
+    monkeypatch.setattr(F, "xxhash64", first_time_equal)
+    found = {r["node"]: r["rank"] for r in graph.pagerank(edges(*ODD), ["h", "a"], rounds=3, epsilon=0).collect()}
+    assert found == pytest.approx(slow_ranks(ODD, ["h", "a"], 3), abs=1e-12)
+    assert len(calls) > 5
+
+
 def test_subgraph_and_text(edges, spark):
     nodes, held = graph.subgraph(edges(("a", "b"), ("b", "c", "uses", 0.8), ("c", "d", "works_on", 0.5)), ["a"], 2)
     assert {r["node"]: r["hops"] for r in nodes.collect()} == {"a": 0, "b": 1, "c": 2}
