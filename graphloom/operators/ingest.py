@@ -63,7 +63,11 @@ def ingest(texts: DataFrame, entities: DataFrame, relations: DataFrame, now: Col
     found = extract_texts(texts, extractor)
     mentions = found.select("kb_id", "text_id", "by_model", F.posexplode("x.entities").alias("position", "e")).select("kb_id", "text_id", "by_model", "position", "e.*")
     mentions = cut(resolve.resolve_in_batch(mentions.filter(F.trim("name") != "")), "matched-in-batch")
-    merged = resolve.merge_mentions(mentions).join(mentions.groupBy("kb_id", "text_id").agg(F.max("by_model").alias("by_model")), ["kb_id", "text_id"])
+    merged = resolve.merge_mentions(mentions)
+    if extractor is None:
+        merged = merged.withColumn("by_model", F.lit(False))
+    else:
+        merged = merged.join(mentions.groupBy("kb_id", "text_id").agg(F.max("by_model").alias("by_model")), ["kb_id", "text_id"])
     # One entity per normalized name and type of the whole batch.
     key = F.sha2(F.concat_ws("|", "kb_id", tx.normalize_name(F.col("name")), tx.normalize_name(F.col("type"))), 256)
     longest = F.struct((-F.octet_length(F.coalesce("summary", F.lit("")))).alias("n"), "text_id")
@@ -85,11 +89,12 @@ def ingest(texts: DataFrame, entities: DataFrame, relations: DataFrame, now: Col
     # Ends of relations by the names of the batch's mentions, then by all names.
     in_batch = new.join(matched, new.id == F.col("new_id")).select("kb_id", resolve.endpoint(F.col("name")).alias("key"), F.coalesce("entity_id", "id").alias("entity_id"), F.lit(0).alias("rank"))
     by_key = F.concat(F.lit("e:"), F.sha2(F.concat_ws("|", "kb_id", F.element_at(F.split("entity_key", r"\|"), 1), F.element_at(F.split("entity_key", r"\|"), 2)), 256))
-    by_mention = mentions.withColumn("id", by_key).join(matched, F.col("id") == F.col("new_id")).select("kb_id", resolve.endpoint(F.col("name")).alias("key"), F.coalesce("entity_id", "id").alias("entity_id"), F.lit(1).alias("rank"))
+    # What very many texts mention is one name to look up.
+    by_mention = mentions.select("kb_id", "entity_key", "name").distinct().withColumn("id", by_key).join(matched, F.col("id") == F.col("new_id")).select("kb_id", resolve.endpoint(F.col("name")).alias("key"), F.coalesce("entity_id", "id").alias("entity_id"), F.lit(1).alias("rank"))
     known = after.select("kb_id", resolve.endpoint(F.col("name")).alias("key"), F.col("id").alias("entity_id"), F.lit(2).alias("rank"))
-    names = in_batch.unionByName(by_mention).unionByName(known).groupBy("kb_id", "key").agg(F.min_by("entity_id", F.struct("rank", "entity_id")).alias("entity_id"))
+    names = cut(in_batch.unionByName(by_mention).unionByName(known).groupBy("kb_id", "key").agg(F.min_by("entity_id", F.struct("rank", "entity_id")).alias("entity_id")), "names")
     said = found.select("kb_id", "text_id", F.posexplode("x.relations").alias("position", "r")).select("kb_id", "text_id", "position", "r.*")
-    ends = resolve.resolve_ends(said, names)
+    ends = cut(resolve.resolve_ends(said, names), "ends")
     merged_relations = resolve.merge_relations(ends).join(ends.groupBy("kb_id", "source_id", "type", "target_id").agg(F.min("text_id").alias("episode_id")), ["kb_id", "source_id", "type", "target_id"])
     relation_id = F.concat(F.lit("r:"), F.sha2(F.concat_ws("|", "kb_id", tx.relation_signature(F.col("source_id"), F.col("type"), F.col("target_id")), "episode_id"), 256))
     rows = merged_relations.withColumns({"id": relation_id, "valid_at": now, "invalid_at": F.lit(None).cast("timestamp"), "created_at": now})

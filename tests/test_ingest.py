@@ -143,6 +143,17 @@ def test_mentions_are_matched_in_a_stream_of_texts(spark):
     assert "FlatMapGroups" not in keyed._jdf.queryExecution().toString()
 
 
+def test_ends_of_relations_are_looked_up_once(spark, monkeypatch):
+    kept = {}
+    real = ingest.cut
+    monkeypatch.setattr(ingest, "cut", lambda df, name="cut": kept.setdefault(name, real(df, name)))
+    texts = spark.createDataFrame([(f"t{i}", "k", f"npm install pkg{i % 2}", "api", {"a": "b"}) for i in range(6)], TEXT)
+    entities, relations = (spark.createDataFrame([], TABLES[t]) for t in ("entities", "relations"))
+    found = ingest.ingest(texts, entities, relations, F.lit("2025-01-01").cast("timestamp"))
+    assert kept["names"].count() == 2 and kept["ends"].count() == 0
+    assert {r["text_id"]: r["entities_created"] for r in found.by_text.collect()} == {"t0": 1, "t1": 1, "t2": 0, "t3": 0, "t4": 0, "t5": 0}
+
+
 def test_embedders(spark):
     e = providers.HashEmbedder(16)
     assert e.embed(["alice"]) == e.embed(["alice"]) and e.embed([""])[0] == [0] * 16
